@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, url_filter
+from . import bpe, chat, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+# 2: byte-level BPE
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
+
+
+# 6: quality rules
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    base = [F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *base, "base_failed", "kept", "rule")
+
+
 # 8: URL filters
 
 #: Host rules as the contract gives them, then patterns of hosts and paths that hold no prose.
@@ -117,5 +135,13 @@ SELECT page_id, host, path, rule,
 FROM fits
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op8_url_filter": op8_url_filter}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op8_url_filter": OP8_SQL}
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_bpe": op2_bpe,
+    "op6_quality": op6_quality,
+    "op8_url_filter": op8_url_filter,
+}
+ORACLE_SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op8_url_filter": OP8_SQL,
+}
