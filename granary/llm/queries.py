@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, url_filter
+from . import bpe, chat, mixing, near, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
 
 
+# 4: mixing sources
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 # 6: quality rules
 
 
@@ -135,11 +142,20 @@ SELECT page_id, host, path, rule,
 FROM fits
 """
 
+# 10: n-gram Jaccard join
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
+    "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
     "op8_url_filter": op8_url_filter,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
