@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, near, quality, url_filter
+from . import bpe, chat, mixing, near, passages, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+# 5: substring dedup
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.classed(table(spark, sf_dir, "documents"))
+    words = lambda ranges: F.aggregate(ranges, F.lit(0).cast("long"), lambda s, r: s + r["to"] - r["from"])
+    return found.select("doc_id", "class_id", "n_links", words("removed").alias("removed_words"), words("repeated").alias("repeated_words"), "removed")
+
+
 # 6: quality rules
 
 
@@ -153,6 +162,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
     "op4_mixing": op4_mixing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
     "op8_url_filter": op8_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
