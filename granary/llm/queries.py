@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, near, passages, quality, url_filter
+from . import bpe, chat, ctw, mixing, near, passages, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", "kept", "rule")
 
 
+# 7: LM scoring
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 # 8: URL filters
 
 #: Host rules as the contract gives them, then patterns of hosts and paths that hold no prose.
@@ -164,6 +171,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
+    "op7_lm_score": op7_lm_score,
     "op8_url_filter": op8_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
 }
