@@ -1,8 +1,62 @@
-"""A corpus pipeline of the llm operators; filled in below."""
+"""A corpus pipeline of five operators, each on all that the one before it kept.
 
+Quality rules drop the documents they reject; the n-gram Jaccard join leaves one document of each group of near
+duplicates; substring dedup cuts passages that an earlier document has; mixing draws the sources to their target
+weights, repeating or cutting documents; byte-level BPE encodes what the mix holds.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from granary.llm import bpe, mixing, near, passages, quality
+from granary.llm.lineage import stored
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor the decision list, learned from the labels table, rejects."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 or more."""
+    return near.without_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts without passages of 50 words or more that another document keeps."""
+    return passages.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each whole text, or part of one, that it takes."""
+    return mixing.mixed_texts(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and the token ids of each row, with digests of the ids and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_texts(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "source"))
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+#: Learned rules, sketches and seeded selection have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; between stages the rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
+    return docs

@@ -263,3 +263,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     full = rows.where("shingles > 0").select("doc_id", "node").join(out, "node").select("doc_id", "class_id", "n_links", "copies")
     empty = rows.where("shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
     return full.unionByName(empty)
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """docs with one row of each group that links hold together: that of its least id.
+
+    Rows that share an id go or stay together; texts without words, and rows with a null id, stay. Of rows that repeat the kept id and its set
+    of shingles one stays; only those are shuffled to find it.
+    """
+    found = stored(near_duplicates(docs, threshold).where((F.col("n_links") > 0) & F.col("doc_id").isNotNull()))
+    goes = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    twice = found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    left = docs.join(goes, "doc_id", "left_anti")
+    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
