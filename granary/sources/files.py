@@ -60,5 +60,5 @@ def file_sha256(path: str | Path) -> str:
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Per file: name, sha256 and rows (lines that aren't blank)."""
     files = spark.read.format("binaryFile").load(folder)
-    lines = F.filter(F.split(F.decode("content", F.lit("UTF-8")), "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: F.trim(x) != "")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.size(lines).cast("long").alias("rows"))
