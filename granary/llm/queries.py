@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, ctw, mixing, near, passages, quality, url_filter
+from . import ann, bpe, chat, ctw, mixing, near, passages, quality, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +165,52 @@ SELECT page_id, host, path, rule,
 FROM fits
 """
 
+# 9: not-modified revisits
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """Each page as a full response and as a revisit of its URL: times, validators and headers set by its id and html."""
+    p = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+    heads = lambda kind: F.create_map(F.lit("Content-Type"), F.lit("text/html" if kind == "response" else "text/plain"), F.lit("Date"), F.concat(F.lit(kind), p.cast("string")), F.lit("ETag"), tag)
+    response = pages.select(
+        (2 * p).alias("record_id"), "url", (p * 7919 % 2_000_000).alias("ts"), F.lit("response").alias("kind"),
+        F.when(p % 4 != 0, tag).alias("etag"), F.when(p % 8 != 4, p.cast("string")).alias("last_modified"), F.lit(None).cast("string").alias("digest"), heads("response").alias("headers"),
+    )
+    revisit = pages.select(
+        (2 * p + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (p * 7919 % 2_000_000 + p * 53 % 300_000 - 20_000).alias("ts"), F.lit("revisit").alias("kind"),
+        F.when(p % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag)).alias("etag"), p.cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"), heads("revisit").alias("headers"),
+    )
+    return response.unionByName(revisit)
+
+
+def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve_revisits(page_records(table(spark, sf_dir, "pages")))
+    listed = F.array_join(F.transform("headers", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return done.select("record_id", "url_key", "response_id", "outcome", listed.alias("headers"))
+
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, '"' || md5(coalesce(html, '')) || '"' AS tag, page_id * 7919 % 2000000 AS ts, regexp_replace(url, '(?s)#.*', '') AS plain FROM pages
+), k AS (
+  SELECT *, lower(regexp_extract(plain, '(?s)\A([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || CASE WHEN starts_with(regexp_extract(plain, '(?s)\A[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)', 1), '/') THEN '' ELSE '/' END
+    || regexp_extract(plain, '(?s)\A[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)', 1) AS url_key FROM p
+), response AS (
+  SELECT 2 * page_id AS id, url_key, ts, page_id, CASE WHEN page_id % 4 <> 0 THEN tag END AS etag, CASE WHEN page_id % 8 <> 4 THEN page_id::VARCHAR END AS modified, tag FROM k
+), revisit AS (
+  SELECT 2 * page_id + 1 AS id, url_key, ts + page_id * 53 % 300000 - 20000 AS ts, page_id, CASE WHEN page_id % 7 = 0 THEN '"other"' ELSE tag END AS etag, page_id::VARCHAR AS modified, tag FROM k
+), found AS (
+  SELECT v.*, r.id AS response_id, r.page_id AS rp, r.tag AS rtag, CASE WHEN r.etag IS NOT NULL THEN r.etag = v.etag WHEN r.modified IS NOT NULL THEN r.modified = v.modified END AS same,
+    row_number() OVER (PARTITION BY v.id ORDER BY r.ts DESC NULLS LAST, r.id DESC) AS n
+  FROM revisit v LEFT JOIN response r ON r.url_key = v.url_key AND r.ts < v.ts
+)
+SELECT id AS record_id, url_key, response_id,
+  CASE WHEN response_id IS NULL THEN 'no_earlier_response' WHEN same IS NULL THEN 'no_validator' WHEN same THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
+  'content-type=' || CASE WHEN same THEN 'text/html' ELSE 'text/plain' END || ';date=revisit' || page_id || ';etag=' || tag AS headers
+FROM found WHERE n = 1
+"""
+
 # 10: n-gram Jaccard join
 
 
@@ -181,9 +227,11 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_lm_score": op7_lm_score,
     "op8_url_filter": op8_url_filter,
+    "op9_warc_revisit": op9_warc_revisit,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
     "op8_url_filter": OP8_SQL,
+    "op9_warc_revisit": OP9_SQL,
 }

@@ -332,3 +332,37 @@ def test_long_text_is_one_chunk():
 
     parts = list(chunks(pa.array(["a " * 900_000, None, "b"])))
     assert [p.n for p in parts] == [1, 2] and len(parts[0].data) == 1_800_000
+
+
+# 9
+
+
+def test_warc_revisits(spark):
+    from granary.llm import warc
+
+    day = 86_400
+    rows = [
+        (1, "HTTP://A.org:80/x#f", 10, "response", '"t1"', None, None, {"Content-Type": "text/html", "Date": "d1"}),
+        (2, "http://a.org/x", 20, "response", '"t2"', "m2", None, {"Content-Type": "text/plain", "ETag": "e2"}),
+        (3, "http://a.org/x", 20, "response", '"t3"', "m2", None, None),
+        (4, "http://a.org/x", 20, "revisit", 'W/"t1"', None, None, {"DATE": "d4", "Content-Type": "no"}),
+        (5, "http://a.org/x", 5 * day, "revisit", '"t3"', None, None, {"Date": "d5"}),
+        (6, "http://a.org/x", 5, "revisit", '"t1"', None, None, None),
+        (7, "http://a.org/x", 3 * day, "revisit", None, "m2", None, None),
+        (8, "http://a.org/x", 3 * day, "revisit", '"zz"', "m2", None, None),
+        (9, "http://a.org/x", 3 * day, "revisit", None, None, "sha", None),
+        (10, None, 30, "revisit", None, None, None, None),
+        (11, "http://a.org/x", None, "revisit", '"t1"', None, None, None),
+        (12, None, 1, "response", '"t1"', None, None, None),
+        (5, "http://a.org/x", 5 * day, "revisit", '"t3"', None, None, {"Date": "d5"}),
+    ]
+    table = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>").withColumn("near", F.lit("clash"))
+    out = warc.resolve_revisits(table).collect()
+    got = {r.record_id: (r.response_id, r.outcome) for r in out}
+    assert len(out) == 9 and got == {
+        4: (1, "resolved"), 5: (3, "resolved"), 6: (None, "no_earlier_response"), 7: (3, "resolved"), 8: (3, "validator_mismatch"),
+        9: (3, "no_validator"), 10: (None, "no_earlier_response"), 11: (None, "no_earlier_response"),
+    }
+    merged = {r.record_id: {h.key: h.value for h in r.headers} for r in out}
+    assert merged[4] == {"content-type": "text/html", "date": "d4"} and merged[5] == {"date": "d5"}
+    assert warc.resolve_revisits(table.limit(0)).count() == 0
