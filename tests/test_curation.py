@@ -144,11 +144,11 @@ def test_samples(spark):
 def test_export_build_and_verify(spark, tmp_path):
     fields = "cve_id string, cwe_id string, published string, description_en string, description_norm_hash string, is_kev boolean, split string"
     rows = spark.createDataFrame([(f"C{i}", "CWE-79", "2020-01-01", f"text {i} " + "x" * i, f"h{i}", False, s) for i, s in enumerate(["train", "train", "val", "test"])], fields)
-    manifest = export.build(rows, rows, ["CWE-79", "CWE-89"], tmp_path, config.load(overrides=["export.max_chars=8"]))
+    manifest = export.build(rows, rows, ["CWE-79", "CWE-89"], tmp_path, config.load(overrides=["export.max_chars=7"]))
     assert manifest["counts"] == {"train": 2, "val": 1, "test": 1} and export.verify_files(spark, tmp_path, manifest) == []
     line = json.loads((tmp_path / "train.jsonl").read_text().splitlines()[1])
-    assert line["completion"] == '{"cwe_id": "CWE-79"}' and line["truncated"] and line["description"] == "text 1 x"
-    assert line["prompt"].endswith("Description: text 1 x") and "- CWE-89: " in line["prompt"]
+    assert line["completion"] == '{"cwe_id": "CWE-79"}' and line["truncated"] and line["description"] == "text 1 "
+    assert line["prompt"].endswith("Description: text 1 ") and "- CWE-89: " in line["prompt"]
     export.rebuild_split(spark, export.export_rows(rows.where("split = 'val'"), ["CWE-79"], 8), "val", tmp_path)
     (tmp_path / "test.jsonl").write_text("{}\n")
     assert export.verify_files(spark, tmp_path, files.read_json(tmp_path / "manifest.json")) == ["test: digest differ"]
