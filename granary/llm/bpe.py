@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrays import chunks
+
 #: Of chunks of text and of pieces, whose ids a worker remembers, and of pairs of tokens, whose verdict it does: how many
 #: at most before the older half is forgotten. They only save time.
 REMEMBERED = 300_000
@@ -259,18 +261,20 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str, keep: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(vocabulary_path)
         encoder = Encoder(vocabulary, pattern)
-        for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for text in batch.column("text"):
-                data = encoder.encode(text.as_py() or "")
-                numbers = array("I", data)
-                if sys.byteorder == "big":
-                    numbers.byteswap()
-                rows[0].append(data if ids else None)
-                rows[1].append(len(numbers))
-                rows[2].append(hashlib.sha256(data).hexdigest())
-                rows[3].append(hashlib.sha256(vocabulary.decode(numbers)).hexdigest())
-            made = [pa.array(rows[0], pa.binary())] * ids + [pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [f.name for f in schema])
+        for whole in batches:
+            for part in chunks(whole.column("text")):  # about a megabyte of text, so that few ids are held at a time
+                batch = whole.slice(part.first, part.n)
+                rows: list[list] = [[], [], [], []]
+                for text in batch.column("text"):
+                    data = encoder.encode(text.as_py() or "")
+                    numbers = array("I", data)
+                    if sys.byteorder == "big":
+                        numbers.byteswap()
+                    rows[0].append(data if ids else None)
+                    rows[1].append(len(numbers))
+                    rows[2].append(hashlib.sha256(data).hexdigest())
+                    rows[3].append(hashlib.sha256(vocabulary.decode(numbers)).hexdigest())
+                made = [pa.array(rows[0], pa.binary())] * ids + [pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [f.name for f in schema])
 
     return picked.mapInArrow(run, schema)
