@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import map_batches
 from .components import group_bounds, whole_groups
 from .lineage import stored
 
@@ -217,7 +218,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, *, parts: int | No
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "parts"])
 
     asks = rows.withColumn("asks", F.coalesce(is_query, F.lit(False)))
-    routed = stored(asks.mapInArrow(route, "vec_id long, embedding array<double>, asks boolean, parts array<int>"))
+    routed = stored(map_batches(asks, route, "vec_id long, embedding array<double>, asks boolean, parts array<int>"))
     filed = routed.select(F.element_at("parts", 1).alias("part"), "vec_id", "embedding")
     sizes = {r["part"]: r["count"] for r in filed.groupBy("part").count().collect()}  # a row for each partition
     asked = routed.where("asks").dropDuplicates(["vec_id"])
@@ -235,6 +236,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, *, parts: int | No
         probed.select("part", ids(bunched, 2).alias("bunch"), spread(blocks).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
     )
     grouped = sides.repartition("part", "block", "bunch").sortWithinPartitions("part", "block", "bunch")
-    found = grouped.mapInArrow(_answers(k), "query_id long, vec_id long, score double")
+    found = map_batches(grouped, _answers(k), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,14 +10,17 @@ agree with a probability of about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+#: Of an Arrow batch between Spark and a worker: about the most bytes, or one longer row.
+BATCH_BYTES = 8 << 20
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _MULTIPLIERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -53,6 +56,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about BATCH_BYTES.
+
+    Both ends of the pipe hold a whole batch outside the heap, and Spark's own bound is 64 MB. The plan reads the bound
+    from the session, so it is set there and stays, unless the application was started with one.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(key):
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 @dataclass
 class Chunk:
     """Rows [first, first + n) of a batch: their bytes, one after another, and where each begins and ends."""

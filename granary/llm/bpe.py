@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrays import chunks
+from .arrays import chunks, map_batches
 
 #: Of chunks of text and of pieces, whose ids a worker remembers, and of pairs of tokens, whose verdict it does: how many
 #: at most before the older half is forgotten. They only save time.
@@ -277,4 +277,4 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str, keep: tupl
                 made = [pa.array(rows[0], pa.binary())] * ids + [pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [f.name for f in schema])
 
-    return picked.mapInArrow(run, schema)
+    return map_batches(picked, run, schema)

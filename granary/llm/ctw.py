@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Chunk, chunks, per_row_sum
+from .arrays import Chunk, chunks, map_batches, per_row_sum
 from .lineage import stored
 
 DEPTH, HEAD, FOLDS, HELD_OUT = 4, 1 << 20, 7, 2
@@ -179,7 +179,7 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame, depth: int = DEPTH, head: int = HEAD) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (null: no byte)."""
     learns = (~held_out(F.col("doc_id"))).alias("learns")
-    counted = docs.select(learns, "text").mapInArrow(_count(depth), "kind int, key long, train long, seen long")
+    counted = map_batches(docs.select(learns, "text"), _count(depth), "kind int, key long, train long, seen long")
     counts = stored(counted.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("seen").alias("seen")))
     words, found = counts.where(F.col("kind") == WORDS), counts.where(F.col("kind") == GRAMS)
     texts = docs.where(~held_out(F.col("doc_id"))).count()
@@ -212,7 +212,7 @@ def score(docs: DataFrame, depth: int = DEPTH, head: int = HEAD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *map(pa.array, columns), *rest], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "bytes", "words", "grams"])
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    out = stored(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_known long, base double, score double, bytes long, words array<long>, grams array<long>"))
+    out = stored(map_batches(rows, run, f"doc_id {kind}, row long, n_tokens long, n_known long, base double, score double, bytes long, words array<long>, grams array<long>"))
     rare = out.select("row", F.explode("words").alias("key")).join(words.select("key", "train"), "key", "left")
     c_of = F.coalesce("train", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.log10(c_of + 1.0) - F.lit(float(below))).alias("rare_base"), F.sum((c_of > 0).cast("long")).alias("rare_known"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, mix, repeated, shingles
+from .arrays import chunks, map_batches, mix, repeated, shingles
 from .components import components, group_bounds, label_pairs, whole_groups
 from .lineage import stored
 
@@ -97,7 +97,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     slim = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, mark long, node binary, shingles long, signature binary")
+    return map_batches(slim, run, f"doc_id {kind}, mark long, node binary, shingles long, signature binary")
 
 
 def least_agreements(threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -243,13 +243,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     together = stored(bands.join(shared, "key"))
     candidates = in_blocks(together.join(nodes.select("node", "signature"), "node"), "key", "members")
-    links = candidates.mapInArrow(_candidate_links(threshold), "a binary, b binary")
+    links = map_batches(candidates, _candidate_links(threshold), "a binary, b binary")
     clusters = components(links)
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     members = clusters.join(sizes, "label").join(nodes, "node").select("label", "members", "node", "copies", "signature", F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"))
     texts = needed_texts(docs, members).drop("doc_id", "mark").dropDuplicates(["node"])
     grouped = in_blocks(texts.withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "label", "members")
-    verified = stored(grouped.mapInArrow(_verified(threshold), "node binary, links long, linked_to binary, blocks long"))
+    verified = stored(map_batches(grouped, _verified(threshold), "node binary, links long, linked_to binary, blocks long"))
     found = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("linked_to").alias("label"))
     split = verified.where("blocks > 1").select(F.col("node").alias("a"), F.col("linked_to").alias("b"))
     if not split.isEmpty():

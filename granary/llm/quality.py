@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import SPACE, Chunk, chunks, mix, per_row_sum, repeated, runs_within
+from .arrays import SPACE, Chunk, chunks, map_batches, mix, per_row_sum, repeated, runs_within
 
 #: The most labelled rows that a list is learned from.
 SAMPLE = 20_000
@@ -92,7 +92,7 @@ def text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), name: str =
             stats = pa.StructArray.from_arrays(columns, list(COUNTS))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats], [*keep, name])
 
-    return picked.mapInArrow(run, schema)
+    return map_batches(picked, run, schema)
 
 
 def features(stats: Column) -> dict[str, Column]:
