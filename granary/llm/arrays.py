@@ -10,6 +10,7 @@ agree with a probability of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -60,12 +61,20 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     """df.mapInArrow(run, schema) in batches of about BATCH_BYTES.
 
     Both ends of the pipe hold a whole batch outside the heap, and Spark's own bound is 64 MB. The plan reads the bound
-    from the session, so it is set there and stays, unless the application was started with one.
+    from the session, so it is set there and stays, unless the application was started with one. Workers live on between
+    tasks, so at a task's end they give the memory that it freed back to the system.
     """
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU library alone has it
+            trim(0)
+
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not df.sparkSession.sparkContext.getConf().contains(key):
         df.sparkSession.conf.set(key, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released, schema)
 
 
 @dataclass
