@@ -11,8 +11,9 @@ that both passages hold are a share of THRESHOLD or more of those that either ho
 
 Dataflow: (1) the centres' keys are counted, and those seen twice mark bits of a bitmap of fixed size; (2) the texts
 are read again for the windows whose keys may be repeated; (3) each occurrence is
-linked to its key's first one (of the shortest document, then by id), so the links are linear in the windows however
-many documents share a passage. Besides each function's windows there are joint ones, in which all functions' minima
+linked to its key's first one (of the shortest document, then by id), so these links are linear in the windows however
+many documents share a passage; windows that reach beyond what so goes are then paired with each other, all with all
+where two functions agree. Besides each function's windows there are joint ones, in which all functions' minima
 stay: documents that share a whole passage meet there although their single minima also occur in other documents; (4) linked documents' texts are fetched and the passages verified. What is first in
 that order stays, what repeats it goes, so of any group of repeats one is left.
 
@@ -165,17 +166,81 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return windows
 
 
-def linked_documents(found: DataFrame) -> DataFrame:
-    """Per pair of a document and an earlier one: (doc_id, mark), (to_id, to_mark) and the windows they share."""
+def shared_windows(found: DataFrame) -> DataFrame:
+    """The windows whose key has others, with the key's first one: to."""
     # written first, so that both sides of the join are plain exchanges, of which a hot key's can be split
     earliest = found.groupBy("key").agg(F.min(F.struct("words", "doc_id", "mark", "centre")).alias("to"), F.count(F.lit(1)).alias("n"))
     earliest = stored(earliest.where("n > 1").select("key", "to"))
-    pairs = found.join(earliest, "key").where(~(F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark"))))
+    return stored(found.join(earliest, "key"))
+
+
+def linked_documents(shared: DataFrame) -> DataFrame:
+    """Per pair of a document and a key's first one: (doc_id, mark), (to_id, to_mark) and the windows they share."""
+    pairs = shared.where(~(F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark"))))
     window = F.struct("fn", "centre", "first", "last", F.col("to.centre").alias("to_centre"))
     shared = pairs.groupBy("doc_id", "mark", F.col("to.doc_id").alias("to_id"), F.col("to.mark").alias("to_mark")).agg(F.collect_list(window).alias("windows"), F.bit_or(F.expr(f"case when fn = {ALL} then {(1 << HASHES) - 1} else 1 << fn end")).alias("fns"))
     return shared.where(F.bit_count("fns") >= AGREEING).drop("fns")
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document's windows, each two of different functions that cover one start: a key of both, and the two."""
+    f, g = np.triu_indices(HASHES, 1)
+    for batch in batches:
+        windows = batch.column("windows")
+        ends = np.cumsum(np.diff(windows.offsets.to_numpy()))
+        fields = windows.flatten()
+        key, fn, centre, low, high = (fields.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fn", "centre", "low", "high"))
+        rows, one, two = [], [], []
+        for row, end in enumerate(ends):
+            begin = ends[row - 1] if row else 0
+            edges = np.unique(np.concatenate((low[begin:end], high[begin:end] + 1)))  # no window begins or ends between
+            at = np.full((HASHES, len(edges)), -1, np.int64)
+            for w in range(begin, end):
+                at[fn[w], np.searchsorted(edges, low[w]) : np.searchsorted(edges, high[w] + 1)] = w
+            at = at[:, (at >= 0).sum(0) > 1]
+            a, b = at[f], at[g]
+            both = (a >= 0) & (b >= 0)
+            found = np.unique(np.stack((a[both], b[both]), 1), axis=0)
+            rows.append(np.full(len(found), row))
+            one.append(found[:, 0])
+            two.append(found[:, 1])
+        if not rows or not sum(map(len, rows)):
+            continue
+        row, one, two = np.concatenate(rows), np.concatenate(one), np.concatenate(two)
+        joint = mix(mix(key[one].view(np.uint64)) + key[two].view(np.uint64)).view(np.int64)
+        at = pa.array(row)
+        columns = [pa.array(joint), *(batch.column(c).take(at) for c in ("doc_id", "mark", "words"))]
+        pairs = [fields.field("window").take(pa.array(w)) for w in (one, two)]
+        yield pa.RecordBatch.from_arrays([*columns, *pairs], ["key", "doc_id", "mark", "words", "one", "two"])
+
+
+def open_pairs(shared: DataFrame, verified: DataFrame) -> DataFrame:
+    """As linked_documents, all pairs of documents whose windows of two functions agree at a start outside what goes.
+
+    A key's first document need not be the one that a passage repeats. What repeats the first one goes, so it has no
+    repeat left; windows that reach beyond it are paired with each other, whatever the key's size.
+    """
+    low = F.greatest(F.col("first"), F.col("centre") - LEAST + 1, F.lit(0))
+    high = F.least(F.col("centre"), F.col("last") - LEAST + 1, F.col("words") - SPAN)
+    goes = verified.groupBy("doc_id", "mark").agg(_joined(F.flatten(F.collect_set("spans"))).alias("goes"))
+    goes = goes.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "goes")
+    rows = shared.where(f"fn < {ALL}").drop("to").withColumns({"low": low, "high": high}).where("low <= high")
+    rows = rows.join(goes, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_mark")
+    rows = stored(rows.where(f"goes is null or not exists(goes, s -> s.from <= low and s.to >= high + {SPAN})").drop("goes"))
+    name = F.struct("doc_id", "mark")
+    several = rows.groupBy("key").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("not a <=> b").select("key")
+    left = rows.join(several, "key")
+    window = F.struct("fn", "centre", "first", "last")
+    listed = left.groupBy("doc_id", "mark", "words").agg(F.collect_list(F.struct("key", "fn", "centre", "low", "high", window.alias("window"))).alias("windows"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    part = "struct<fn:int,centre:int,first:int,last:int>"
+    agreeing = stored(map_batches(listed, _agreeing, f"key long, doc_id {kind}, mark long, words int, one {part}, two {part}"))
+    own, other = agreeing.alias("a"), agreeing.select("key", F.struct("words", "doc_id", "mark").alias("to"), F.col("one.centre").alias("to_one"), F.col("two.centre").alias("to_two")).alias("b")
+    pairs = own.join(other, "key").where((F.struct("words", "doc_id", "mark") > F.col("to")) & ~(F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark"))))
+    both = F.array(*(F.struct(*(F.col(f"{w}.{c}").alias(c) for c in ("fn", "centre", "first", "last")), F.col(f"to_{w}").alias("to_centre")) for w in ("one", "two")))
+    return pairs.groupBy("doc_id", "mark", F.col("to.doc_id").alias("to_id"), F.col("to.mark").alias("to_mark")).agg(F.array_distinct(F.flatten(F.collect_list(both))).alias("windows"))
+
+
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     pick = np.minimum if least else np.maximum
     out, done = values, 1
@@ -275,7 +340,13 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Per verified pair: doc_id, mark, spans (words that repeat the other document's), to_id, to_mark, to_spans."""
-    pairs = stored(linked_documents(occurrences(docs)))
+    shared = shared_windows(occurrences(docs))
+    first = verified_pairs(docs, stored(linked_documents(shared)))
+    return first.unionByName(verified_pairs(docs, stored(open_pairs(shared, first))))
+
+
+def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that verify, as repeats gives them."""
     with_texts = texts_of(docs, pairs)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()), T.StructField("spans", _SPAN), T.StructField("to_id", kind), T.StructField("to_mark", T.LongType()), T.StructField("to_spans", _SPAN)])

@@ -7,12 +7,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from granary.llm import ann, bpe, chat, ctw, mixing, near, passages, quality, url_filter
-from granary.llm.arrays import chunks
+from granary.llm.arrays import chunks, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, stats string, key string, mark string"
@@ -167,6 +168,28 @@ def test_passages(spark, docs):
     assert left[0].__fields__ == docs.columns and passages.classed(docs.limit(0)).count() == 0
 
 
+def test_passages_near_each_other_but_not_the_keys_first(spark):
+    """Shorter texts hold most shingles of B and C, which are near each other only."""
+    rows, near_pairs = [], []
+    for f in range(16):
+        left, right = prose(900 + f, 28), prose(1900 + f, 28)
+        words = f"{left} {prose(2900 + f, 8)} {right}".split()
+        other = [*words]
+        other[3 + 3 * f] = "replaced"
+        a = [f"{left} {prose(3900 + f, 23)}", f"{prose(4900 + f, 23)} {right}"]
+        rows += [(4 * f + k, t) for k, t in enumerate([*a, " ".join(words), " ".join(other) + " tail"])]
+        centres = []
+        for text in (words, other):
+            found, per_row, _ = shingles(next(chunks(pa.array([" ".join(text)]))), passages.WIDTH)
+            centres.append(np.stack([found[passages.compact_windows(found, per_row, x)[3]] for x in passages._FACTORS]))
+        if ((centres[0] == centres[1]).sum(0) >= passages.AGREEING).any():
+            near_pairs.append(f)
+    got = {r.doc_id: r for r in passages.classed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(near_pairs) > 12
+    assert [f for f in near_pairs if not (got[4 * f + 3].removed and got[4 * f + 2].repeated)] == []
+    assert not any(got[4 * f + k].n_links for f in range(16) for k in (0, 1))
+
+
 def test_compact_windows_are_the_tree_nodes():
     random = np.random.default_rng(1)
     for trial in range(12):
