@@ -36,7 +36,7 @@ from .arrays import Chunk, chunks, map_batches, mix, shingles
 from .components import components
 from .lineage import stored
 
-WIDTH, SPAN, HASHES, AGREEING, THRESHOLD, REACH = 5, 50, 4, 2, 0.8, 63
+WIDTH, SPAN, HASHES, AGREEING, THRESHOLD, REACH = 5, 50, 8, 2, 0.8, 63
 LEAST = SPAN - WIDTH + 1
 ALL = HASHES
 #: Bits of the bitmap of repeated keys, and hash positions that mark which texts are needed again.
