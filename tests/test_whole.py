@@ -35,3 +35,11 @@ def test_nearest_rows_of_the_test_split(spark, folder):
     assert got == {"CVE-2020-0000061": ("CVE-2020-0000020", 1.0), "CVE-2020-0000066": ("CVE-2020-0000030", 1.0)}
     assert max(r.n for r in run("audit_summary").collect()) == 2
     assert run("closest_pairs").count() == 2
+
+
+def test_char5_jaccard_of_long_texts(spark, folder):
+    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    fold = {i: " ".join(t.casefold().split()) for i, (_, t) in TEXTS.items() if t is not None}
+    want = {i: round(len(grams(fold[i]) & grams(fold[i + 1])) / len(grams(fold[i]) | grams(fold[i + 1])), 9) for i in fold if i + 1 in fold}
+    got = {r.doc_id: r.jaccard for r in __spark_entry__.queries()["char5_jaccard"](spark, folder).collect()}
+    assert {i: v for i, v in got.items() if i in want} == want and 61 in want
