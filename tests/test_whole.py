@@ -43,3 +43,11 @@ def test_char5_jaccard_of_long_texts(spark, folder):
     want = {i: round(len(grams(fold[i]) & grams(fold[i + 1])) / len(grams(fold[i]) | grams(fold[i + 1])), 9) for i in fold if i + 1 in fold}
     got = {r.doc_id: r.jaccard for r in __spark_entry__.queries()["char5_jaccard"](spark, folder).collect()}
     assert {i: v for i, v in got.items() if i in want} == want and 61 in want
+
+
+def test_excerpts_of_all_languages(spark, folder):
+    cut = lambda t, n: t if len(t) <= n else t[: n - 1] + "…"
+    flat = {i: None if t is None else " ".join(t.split()) for i, (_, t) in TEXTS.items()}
+    got = {r.doc_id: r for r in __spark_entry__.queries()["excerpts"](spark, folder).collect()}
+    assert {i: r.excerpt for i, r in got.items()} == {i: t if t is None else cut(t, 80) for i, t in flat.items()}
+    assert all((r.cell is None) == (r.redacted is None) == (TEXTS[i][1] is None) for i, r in got.items())
