@@ -37,6 +37,9 @@ HASHES = BANDS * ROWS
 #: Hash positions that mark which texts are needed again: the broadcast table of them has at most so many rows.
 POSITIONS = 1 << 20
 
+#: What names a row, in order: whether its id is null, its id, its text's hash.
+NAME = ("none", "doc_id", "mark")
+
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -136,10 +139,11 @@ def _pairs(bounds: np.ndarray, side: np.ndarray, most: int = 1 << 20) -> Iterato
         begin = end
 
 
-def in_blocks(members: DataFrame, key: str, size: str, block: int = BLOCK) -> DataFrame:
-    """Members of groups with a known size, once for each pair of blocks they belong to.
+def in_blocks(members: DataFrame, key: str, size: str, order: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """Members of groups with a known size, once for each pair of blocks they belong to, by order in each.
 
     first and second are the pair's blocks; side is the member's block in a pair of two, -1 in a pair of one with itself.
+    A member's block is set by its node.
     """
     n = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
@@ -147,7 +151,7 @@ def in_blocks(members: DataFrame, key: str, size: str, block: int = BLOCK) -> Da
     rows = rows.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
     rows = rows.withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")))
     # a pair of two blocks gets both blocks' members: own meets other from either side
-    return rows.repartition(key, "first", "second").sortWithinPartitions(key, "first", "second")
+    return rows.repartition(key, "first", "second").sortWithinPartitions(key, "first", "second", *order)
 
 
 def _candidate_links(threshold: float):
@@ -213,8 +217,9 @@ def _verified(threshold: float):
                     np.add.at(links[low:high], b, copies[low + a])
                     if len(a):
                         labels[low:high] = low + np.minimum(labels[low:high] - low, label_pairs(np.concatenate((a, np.arange(n))), np.concatenate((b, labels[low:high] - low)), n))
-            nodes = table.column("node").combine_chunks().cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(links), nodes.take(pa.array(labels)), table.column("blocks").combine_chunks()], ["node", "links", "linked_to", "blocks"])
+            of = lambda name, at=None: (table.column(name) if at is None else table.column(name).take(pa.array(at))).combine_chunks()  # noqa: E731, B023
+            columns = [of("node").cast(pa.binary()), pa.array(links), of("blocks"), *(of(c) for c in NAME), *(of(c, labels) for c in NAME)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "links", "blocks", *NAME, *(f"to_{c}" for c in NAME)])
 
     return run
 
@@ -231,13 +236,16 @@ def needed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(texts, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_mark")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Per row: doc_id, class_id (the least id that links lead to), n_links (rows of other documents it is linked to,
-    copies included) and copies (rows with the same set of shingles)."""
+def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Per row: doc_id, mark, class (the least name that links lead to), n_links (rows of other documents it is linked
+    to, copies included) and copies (rows with the same set of shingles).
+
+    A name is a struct of NAME: whether the id is null, the id and the text's hash, so null ids come last.
+    """
     rows = stored(sign(docs))
-    nodes = stored(
-        rows.where("shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "mark")).alias("one"), F.first("signature").alias("signature"))
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    name = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")
+    nodes = stored(rows.where("shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(name).alias("one"), F.first("signature").alias("signature")))
     band = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
     bands = nodes.select(F.explode(F.array(*band)).alias("key"), "node")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -246,34 +254,42 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     links = map_batches(candidates, _candidate_links(threshold), "a binary, b binary")
     clusters = components(links)
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    members = clusters.join(sizes, "label").join(nodes, "node").select("label", "members", "node", "copies", "signature", F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"))
-    texts = needed_texts(docs, members).drop("doc_id", "mark").dropDuplicates(["node"])
-    grouped = in_blocks(texts.withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "label", "members")
-    verified = stored(map_batches(grouped, _verified(threshold), "node binary, links long, linked_to binary, blocks long"))
-    found = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("linked_to").alias("label"))
-    split = verified.where("blocks > 1").select(F.col("node").alias("a"), F.col("linked_to").alias("b"))
+    members = clusters.join(sizes, "label").join(nodes, "node").select("label", "members", "node", "copies", "signature", "one.*")
+    texts = needed_texts(docs, members).dropDuplicates(["node"])
+    grouped = in_blocks(texts.withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "label", "members", NAME)
+    both = ", ".join(f"{p}none boolean, {p}doc_id {kind}, {p}mark long" for p in ("", "to_"))
+    verified = stored(map_batches(grouped, _verified(threshold), f"node binary, links long, blocks long, {both}"))
+    verified = verified.select("node", "links", "blocks", F.struct(*NAME).alias("one"), F.struct(*(F.col(f"to_{c}").alias(c) for c in NAME)).alias("to"))
+    found = verified.groupBy("node").agg(F.sum("links").alias("links"), F.first("one").alias("one"), F.min("to").alias("to"))
+    split = verified.where("blocks > 1").select(F.col("one").alias("a"), F.col("to").alias("b"))
     if not split.isEmpty():
-        over = components(split).withColumnRenamed("label", "over")
-        found = found.join(over, "node", "left").select("node", "links", F.coalesce("over", "label").alias("label"))
-    named = found.join(nodes.select("node", "first_id"), "node")
-    least = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    linked = named.join(least, "label").select("node", "links", "class_id")
-    out = nodes.select("node", "copies", "first_id").join(linked, "node", "left")
-    out = out.select("node", "copies", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = rows.where("shingles > 0").select("doc_id", "node").join(out, "node").select("doc_id", "class_id", "n_links", "copies")
-    empty = rows.where("shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
+        over = components(split).select(F.col("node").alias("one"), F.col("label").alias("over"))
+        found = found.join(over, "one", "left").withColumn("to", F.coalesce("over", "to"))
+    out = nodes.select("node", "copies", "one").join(found.select("node", "links", "to"), "node", "left")
+    out = stored(out.select("node", "copies", F.coalesce("to", "one").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    full = rows.where("shingles > 0").select("doc_id", "mark", "node").join(out, "node").select("doc_id", "mark", "class", "n_links", "copies")
+    empty = rows.where("shingles = 0").select("doc_id", "mark", name.alias("class"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
     return full.unionByName(empty)
 
 
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Per row: doc_id, class_id (the least id that links lead to), n_links (rows of other documents it is linked to,
+    copies included) and copies (rows with the same set of shingles)."""
+    return classes(docs, threshold).select("doc_id", F.col("class.doc_id").alias("class_id"), "n_links", "copies")
+
+
 def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with one row of each group that links hold together: that of its least id.
+    """docs with one row of each group that links hold together: that of its least id, of equal ids the least text hash.
 
-    Rows that share an id go or stay together; texts without words, and rows with a null id, stay. Of rows that repeat the kept id and its set
-    of shingles one stays; only those are shuffled to find it.
+    A row is told by its id and its text, so a text that nothing resembles stays though its id also names another that
+    goes. Rows with a null id come last in their group, and go like others. Texts without words stay. Of rows that repeat
+    the kept one's id and text one stays; only those are shuffled to find it.
     """
-    found = stored(near_duplicates(docs, threshold).where((F.col("n_links") > 0) & F.col("doc_id").isNotNull()))
-    goes = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    twice = found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(goes, "doc_id", "left_anti")
-    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    found = stored(classes(docs, threshold).where("n_links > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "class"))
+    stays = F.col("_id").eqNullSafe(F.col("class.doc_id")) & (F.col("_mark") == F.col("class.mark"))
+    goes = found.where(~stays).select("_id", "_mark").distinct()
+    twice = found.where(stays).groupBy("_id", "_mark").count().where("count > 1").select("_id", "_mark")
+    same = (F.xxhash64(docs["text"]) == F.col("_mark")) & docs["doc_id"].eqNullSafe(F.col("_id"))
+    left = docs.join(goes, same, "left_anti")
+    again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -338,7 +338,7 @@ def test_url_filter(spark):
 @pytest.mark.parametrize("block", [3, 1024])
 def test_near_duplicates(spark, docs, block, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", block)
-    monkeypatch.setattr(near.in_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(near.in_blocks, "__defaults__", ((), block))
     rows = pairs(docs)
     sets = []
     for _, text in rows:
@@ -364,6 +364,29 @@ def test_near_duplicates(spark, docs, block, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in near.near_duplicates(docs).collect()) == want
     kept = near.without_near_duplicates(docs)
     assert kept.columns == docs.columns and near.near_duplicates(docs.limit(0)).count() == 0
+    stay = [least[r] for r in {root(i) for i in range(len(rows))}]
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(stay)
+
+
+def test_a_unique_text_stays_though_its_id_names_another(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, b + " x"), (None, prose(3, 90)), (1, a)]
+    kept = near.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (2, b), (None, prose(3, 90))])
+    assert near.without_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hashes_tell_thue_morse_strings_apart(spark):
+    """Polynomial hashes modulo a power of two give both strings one value."""
+    swap = str.maketrans("ab", "ba")
+    text = "a"
+    while len(text) < 4096:
+        text += text.translate(swap)
+        found = next(chunks(pa.array([text + "\n" + text.translate(swap) + "\n" + text])))
+        a, b, c = found.hashes(*found.words())
+        assert a == c != b
+    stats = quality.text_stats(spark.createDataFrame([(1, text + "\n" + text.translate(swap))], "doc_id long, text string")).first().stats
+    assert (stats.n_words, stats.n_dup_lines) == (2, 0)
 
 
 def test_long_text_is_one_chunk():
