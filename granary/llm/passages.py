@@ -1,25 +1,33 @@
 """Substring dedup by compact windows: passages of SPAN words or more that are nearly repeated in another document.
 
-A text is its sequence of five-word shingles. Under one hash function, each node of the Cartesian tree over the
-shingles' hashes stands for all subsequences in which it is the minimum: those between the next smaller hash on either
-side. The nodes whose window holds a subsequence of LEAST shingles are the minima of sliding windows of that length, so
-they are found by a sliding minimum, and a window's ends by doubling steps (it is cut REACH shingles from its centre:
-other centres' windows cover what lies further). Windows of two documents with one centre shingle say that any
-subsequence in one and any in the other have that MinHash value in common. Where windows of AGREEING of the HASHES
-functions cover the same start (an interval join on starts), a passage is a candidate; it is a repeat if the shingles
-that both passages hold are a share of THRESHOLD or more of those that either holds.
-
-Dataflow: (1) the centres' keys are counted, and those seen twice mark bits of a bitmap of fixed size; (2) the texts
-are read again for the windows whose keys may be repeated; (3) each occurrence is
-linked to its key's first one (of the shortest document, then by id), so these links are linear in the windows however
-many documents share a passage; windows that reach beyond what so goes are then paired with each other, all with all
-where two functions agree. Besides each function's windows there are joint ones, in which all functions' minima
-stay: documents that share a whole passage meet there although their single minima also occur in other documents; (4) linked documents' texts are fetched and the passages verified. What is first in
-that order stays, what repeats it goes, so of any group of repeats one is left.
-
-A document is an id with a text, so rows that repeat both are one document; a null id is an id. A text of fewer than
-SPAN words, null or empty, has no passage. Repeats inside one document are left alone. Columns other than doc_id and
-text aren't read. Empty tables give no rows.
+A text is its sequence of five-word shingles, and a passage LEAST of them in a row. A passage is a repeat if some stretch
+of another document shares with it THRESHOLD or more of the shingles that either holds.
+
+What must agree. Let a repeat leave a of its LEAST shingles unmatched and the other stretch b of its own; then
+a + 0.8 b <= 9.2. Wherever the match breaks off and resumes (a word changed, put in or left out, or two parts swapped),
+either side loses four shingles or more, so one break is possible and two are not, and at least 40 shingles stand in two
+runs: every repeat shares a run of RUN = 20 shingles, 24 words, word for word. (Only where a passage holds one shingle
+several times can a break cost less.)
+
+Compact windows. Under one hash function, each node of the Cartesian tree over the shingles' hashes stands for all
+subsequences in which it is the minimum; those of RUN shingles begin in one interval of starts. The intervals of HASHES
+functions are joined on the starts: a joint window is where the minima of all functions stay. Its key is all that stands
+between these minima. A shared run lies in both documents in joint windows of one key, with certainty, so each further
+function takes away candidates and loses none, and no repeat is missed by chance.
+
+Dataflow: (1) the keys are counted, and those seen twice mark bits of a bitmap of fixed size; (2) the texts are read
+again for the windows whose keys may be repeated; (3) each occurrence is linked to its key's first one (of the shortest
+document, then by id), linear in the windows however many documents share a passage; linked documents' texts are fetched
+and all their passages verified; (4) a key isn't done while an occurrence in it lies in no passage that went, or its
+documents are not yet of one class: there all occurrences are compared with each other, in blocks of a bounded size, on
+the shingles around them, which hold every passage that the run belongs to. A comparison whose outcome is settled by
+then is left out, and what leaves a block is a row for each link that settles something. What is first in the order
+(words, id, text hash) stays, what repeats it goes, so of any group of repeats one is left.
+
+A document is an id with a text, so rows that repeat both are one document; a null id is an id, and names a class only
+where all are null. A text of fewer than SPAN words, null or empty, has no passage. Repeats inside one document are left alone. Up to SPAN - 1 words at
+the edge of a passage that goes may stay though a third document has them too. Columns other than doc_id and text aren't
+read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,104 +40,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import Chunk, chunks, map_batches, mix, shingles
-from .components import components
+from .arrays import chunks, map_batches, mix, shingles
+from .components import components, group_bounds, label_pairs, whole_groups
 from .lineage import stored
+from .near import _fixed, _matrix, _pairs, in_blocks
 
-WIDTH, SPAN, HASHES, AGREEING, THRESHOLD, REACH = 5, 50, 8, 2, 0.8, 63
+WIDTH, SPAN, RUN, HASHES, THRESHOLD, REACH = 5, 50, 20, 2, 0.8, 63
 LEAST = SPAN - WIDTH + 1
-ALL = HASHES
+#: How far the counterpart of a passage's shingle can be moved, and the shingles around a run's centre that are compared.
+MOVED = 11
+AROUND = LEAST - 1 + MOVED
 #: Bits of the bitmap of repeated keys, and hash positions that mark which texts are needed again.
 BITS, POSITIONS = 1 << 26, 1 << 20
 
 _FACTORS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
+_PLACE = np.uint64((1 << 31) - 1)
 
 
-def compact_windows(found: np.ndarray, per_row: np.ndarray, factor: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of shingles, row after row: each window's centre, first and last shingle (indices into found), by centre.
-
-    The fourth array has, for each start of LEAST shingles, their minimum's place, or -1 where a row ends before.
-    """
-    n = len(found)
-    empty = np.empty(0, np.int64)
-    if n < LEAST or not (per_row >= LEAST).any():
-        return empty, empty, empty, empty
-    place_bits = np.uint64(max(1, int(n).bit_length()))
-    place_mask = (np.uint64(1) << place_bits) - np.uint64(1)
-    order = ((found * factor) & ~place_mask) | np.arange(n, dtype=np.uint64)  # ties: the leftmost is the least
-    end = np.cumsum(per_row)
-    begin_of, end_of = np.repeat(end - per_row, per_row), np.repeat(end, per_row)
-
-    levels = [order]  # the least of 1, 2, 4, ... values from each place on
-    while len(levels) < 6:
-        last, step = levels[-1], 1 << (len(levels) - 1)
-        levels.append(np.minimum(last[:-step], last[step:]) if len(last) > step else last[:0])
-    half = levels[5]
-    least = np.minimum(half[: n - LEAST + 1], half[LEAST - 32 : LEAST - 32 + n - LEAST + 1])
-    starts = np.arange(n - LEAST + 1)
-    at_start = np.where(starts + LEAST <= end_of[starts], (least & place_mask).astype(np.int64), -1)
-    centres = at_start[at_start >= 0]
-    centres = centres[np.r_[True, centres[1:] != centres[:-1]]] if len(centres) else centres
-
-    own = order[centres]
-    first, last = centres.copy(), centres.copy()
-    for k in range(5, -1, -1):
-        step, level = 1 << k, levels[k]
-        if not len(level):
-            continue
-        to = first - step
-        free = (to >= begin_of[centres]) & (level[np.clip(to, 0, len(level) - 1)] > own)
-        first = np.where(free, to, first)
-        to = last + 1
-        free = (last + step < end_of[centres]) & (level[np.clip(to, 0, len(level) - 1)] > own)
-        last = np.where(free, last + step, last)
-    return centres, first, last, at_start
+def _sliding(values: np.ndarray, width: int, least: bool, axis: int = 0) -> np.ndarray:
+    """The least (or greatest) of each width values in a row."""
+    pick = np.minimum if least else np.maximum
+    values = np.moveaxis(values, axis, 0)
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = pick(values[:-step], values[step:])
+        done += step
+    return np.moveaxis(values, 0, axis)
+
+
+def centres(found: np.ndarray, per_row: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """For each start of RUN shingles the place of their minimum, the leftmost of equal ones; -1 where a row ends before."""
+    if len(found) < RUN:
+        return np.empty(0, np.int64)
+    order = ((found * factor) & ~_PLACE) | np.arange(len(found), dtype=np.uint64)
+    starts = np.arange(len(found) - RUN + 1)
+    return np.where(starts + RUN <= np.repeat(np.cumsum(per_row), per_row)[starts], (_sliding(order, RUN, True) & _PLACE).astype(np.int64), -1)
+
+
+def joint_windows(found: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with LEAST shingles or more: each joint window's key, row, first function's centre, least and last centre."""
+    at = np.stack([centres(found, per_row, f) for f in _FACTORS])
+    if not at.shape[1]:
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))
+    change = np.ones(at.shape[1], bool)
+    change[1:] = (at[:, 1:] != at[:, :-1]).any(0)
+    at = at[:, change & (at[0] >= 0)]
+    rows = np.searchsorted(np.cumsum(per_row), at[0], side="right")
+    at, rows = at[:, per_row[rows] >= LEAST], rows[per_row[rows] >= LEAST]
+    low, high = at.min(0), at.max(0)
+    sums = np.zeros(len(found) + 1, np.uint64)
+    np.cumsum(mix(found), out=sums[1:])
+    keys = mix(mix(sums[high + 1] - sums[low]) + mix(found[low] + (high - low).astype(np.uint64)))
+    begin = (np.cumsum(per_row) - per_row)[rows]
+    return keys, rows, at[0] - begin, low - begin, high - begin
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in chunks(batch.column("text")):
             found, per_row, _ = shingles(c, WIDTH)
-            keys = [_key(found[compact_windows(found, per_row, f)[0]], k) for k, f in enumerate(_FACTORS)]
-            keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+            keys, counts = np.unique(joint_windows(found, per_row)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
 
-def _key(shingle: np.ndarray, fn: int) -> np.ndarray:
-    return mix(shingle + np.uint64(fn))
-
-
-def _windows(chunk: Chunk, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each hash function: its number, and of the windows whose keys' bits are set the keys, rows, centres, firsts
-    and lasts, counted within rows. At last, numbered ALL, the joint windows: runs of starts at which the centres of
-    all functions stay and are marked; their key is all the centres', their centre the first function's."""
-    found, per_row, _ = shingles(chunk, WIDTH)
-    end = np.cumsum(per_row)
-    begin = end - per_row
-    joint, marked, change = np.uint64(0), True, False
-    for k, factor in enumerate(_FACTORS):
-        centres, first, last, at_start = compact_windows(found, per_row, factor)
-        if not len(centres):
-            return
-        keys = _key(found[centres], k)
-        spot = (keys.view(np.int64) % BITS).astype(np.int64)
-        hits = (bits[spot >> 6] >> (spot & 63) & 1).astype(bool)
-        hit = np.flatnonzero(hits)
-        rows = np.searchsorted(end, centres[hit], side="right")
-        yield k, keys[hit], rows, centres[hit] - begin[rows], first[hit] - begin[rows], last[hit] - begin[rows]
-        which = np.searchsorted(centres, at_start)
-        joint = joint * np.uint64(0x9E3779B97F4A7C15) + np.where(at_start >= 0, keys[np.minimum(which, len(keys) - 1)], np.uint64(0))
-        marked = marked & (at_start >= 0) & hits[np.minimum(which, len(keys) - 1)]
-        change = change | np.r_[True, at_start[1:] != at_start[:-1]]
-        lead = at_start if k == 0 else lead  # noqa: F821
-    starts = np.flatnonzero(change)
-    stops = np.append(starts[1:], len(change)) - 1
-    stay = marked[starts]
-    starts, stops = starts[stay], stops[stay]
-    rows = np.searchsorted(end, starts, side="right")
-    yield ALL, mix(joint[starts]), rows, lead[starts] - begin[rows], starts - begin[rows], stops + LEAST - 1 - begin[rows]
-
-
 def repeated_bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     """A bitmap of the low bits of the keys; at most bits / 64 rows come to the driver."""
     spot = F.pmod("key", F.lit(bits))
@@ -141,9 +115,10 @@ def repeated_bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The windows whose centre shingle other windows may have too: key, fn, doc_id, mark, words, centre, first, last.
+    """The joint windows whose key other windows may have too: key, doc_id, mark, words, centre, low, high.
 
-    A few keys are there only because the bitmap shares a bit; they have one occurrence and link nothing.
+    low and high are the least and last of the functions' centres. A few keys are there only because the bitmap shares a
+    bit; they have one occurrence and link nothing.
     """
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     counted = map_batches(docs.select("text"), _keys, "key long, n long")
@@ -156,14 +131,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for c in chunks(batch.column("text")):
                 part = batch.slice(c.first, c.n)
-                words = c.counts(c.words()[0])
-                for k, keys, rows, centres, first, last in _windows(c, bits):
-                    numbers = (words[rows], centres, first, last)
-                    columns = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), k, np.int32)), part.column("doc_id").take(pa.array(rows)), part.column("mark").take(pa.array(rows))]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in numbers)], ["key", "fn", "doc_id", "mark", "words", "centre", "first", "last"])
+                found, per_row, _ = shingles(c, WIDTH)
+                keys, *places = joint_windows(found, per_row)
+                spot = (keys.view(np.int64) % BITS).astype(np.int64)
+                hit = np.flatnonzero(bits[spot >> 6] >> (spot & 63) & 1)
+                rows, *numbers = (x[hit] for x in places)
+                numbers = (per_row[rows] + WIDTH - 1, *numbers)
+                columns = [pa.array(keys[hit].view(np.int64)), *(part.column(x).take(pa.array(rows)) for x in ("doc_id", "mark"))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in numbers)], ["key", "doc_id", "mark", "words", "centre", "low", "high"])
 
-    windows = map_batches(marked, run, f"key long, fn int, doc_id {kind}, mark long, words int, centre int, first int, last int")
-    return windows
+    return map_batches(marked, run, f"key long, doc_id {kind}, mark long, words int, centre int, low int, high int")
 
 
 def shared_windows(found: DataFrame) -> DataFrame:
@@ -175,134 +152,52 @@ def shared_windows(found: DataFrame) -> DataFrame:
 
 
 def linked_documents(shared: DataFrame) -> DataFrame:
-    """Per pair of a document and a key's first one: (doc_id, mark), (to_id, to_mark) and the windows they share."""
+    """Per pair of a document and a key's first one: (doc_id, mark), (to_id, to_mark), to_words and the windows they share."""
     pairs = shared.where(~(F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark"))))
-    window = F.struct("fn", "centre", "first", "last", F.col("to.centre").alias("to_centre"))
-    shared = pairs.groupBy("doc_id", "mark", F.col("to.doc_id").alias("to_id"), F.col("to.mark").alias("to_mark")).agg(F.collect_list(window).alias("windows"), F.bit_or(F.expr(f"case when fn = {ALL} then {(1 << HASHES) - 1} else 1 << fn end")).alias("fns"))
-    return shared.where(F.bit_count("fns") >= AGREEING).drop("fns")
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document's windows, each two of different functions that cover one start: a key of both, and the two."""
-    f, g = np.triu_indices(HASHES, 1)
-    for batch in batches:
-        windows = batch.column("windows")
-        ends = np.cumsum(np.diff(windows.offsets.to_numpy()))
-        fields = windows.flatten()
-        key, fn, centre, low, high = (fields.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fn", "centre", "low", "high"))
-        rows, one, two = [], [], []
-        for row, end in enumerate(ends):
-            begin = ends[row - 1] if row else 0
-            edges = np.unique(np.concatenate((low[begin:end], high[begin:end] + 1)))  # no window begins or ends between
-            at = np.full((HASHES, len(edges)), -1, np.int64)
-            for w in range(begin, end):
-                at[fn[w], np.searchsorted(edges, low[w]) : np.searchsorted(edges, high[w] + 1)] = w
-            at = at[:, (at >= 0).sum(0) > 1]
-            a, b = at[f], at[g]
-            both = (a >= 0) & (b >= 0)
-            found = np.unique(np.stack((a[both], b[both]), 1), axis=0)
-            rows.append(np.full(len(found), row))
-            one.append(found[:, 0])
-            two.append(found[:, 1])
-        if not rows or not sum(map(len, rows)):
-            continue
-        row, one, two = np.concatenate(rows), np.concatenate(one), np.concatenate(two)
-        joint = mix(mix(key[one].view(np.uint64)) + key[two].view(np.uint64)).view(np.int64)
-        at = pa.array(row)
-        columns = [pa.array(joint), *(batch.column(c).take(at) for c in ("doc_id", "mark", "words"))]
-        pairs = [fields.field("window").take(pa.array(w)) for w in (one, two)]
-        yield pa.RecordBatch.from_arrays([*columns, *pairs], ["key", "doc_id", "mark", "words", "one", "two"])
-
-
-def open_pairs(shared: DataFrame, verified: DataFrame) -> DataFrame:
-    """As linked_documents, all pairs of documents whose windows of two functions agree at a start outside what goes.
-
-    A key's first document need not be the one that a passage repeats. What repeats the first one goes, so it has no
-    repeat left; windows that reach beyond it are paired with each other, whatever the key's size.
-    """
-    low = F.greatest(F.col("first"), F.col("centre") - LEAST + 1, F.lit(0))
-    high = F.least(F.col("centre"), F.col("last") - LEAST + 1, F.col("words") - SPAN)
-    goes = verified.groupBy("doc_id", "mark").agg(_joined(F.flatten(F.collect_set("spans"))).alias("goes"))
-    goes = goes.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "goes")
-    rows = shared.where(f"fn < {ALL}").drop("to").withColumns({"low": low, "high": high}).where("low <= high")
-    rows = rows.join(goes, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_mark")
-    rows = stored(rows.where(f"goes is null or not exists(goes, s -> s.from <= low and s.to >= high + {SPAN})").drop("goes"))
-    name = F.struct("doc_id", "mark")
-    several = rows.groupBy("key").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("not a <=> b").select("key")
-    left = rows.join(several, "key")
-    window = F.struct("fn", "centre", "first", "last")
-    listed = left.groupBy("doc_id", "mark", "words").agg(F.collect_list(F.struct("key", "fn", "centre", "low", "high", window.alias("window"))).alias("windows"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    part = "struct<fn:int,centre:int,first:int,last:int>"
-    agreeing = stored(map_batches(listed, _agreeing, f"key long, doc_id {kind}, mark long, words int, one {part}, two {part}"))
-    own, other = agreeing.alias("a"), agreeing.select("key", F.struct("words", "doc_id", "mark").alias("to"), F.col("one.centre").alias("to_one"), F.col("two.centre").alias("to_two")).alias("b")
-    pairs = own.join(other, "key").where((F.struct("words", "doc_id", "mark") > F.col("to")) & ~(F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark"))))
-    both = F.array(*(F.struct(*(F.col(f"{w}.{c}").alias(c) for c in ("fn", "centre", "first", "last")), F.col(f"to_{w}").alias("to_centre")) for w in ("one", "two")))
-    return pairs.groupBy("doc_id", "mark", F.col("to.doc_id").alias("to_id"), F.col("to.mark").alias("to_mark")).agg(F.array_distinct(F.flatten(F.collect_list(both))).alias("windows"))
-
-
-def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    pick = np.minimum if least else np.maximum
-    out, done = values, 1
-    while done < width:
-        step = min(done, width - done)
-        out = pick(out[:-step], out[step:])
-        done += step
-    return out
-
-
-def verify(own: np.ndarray, other: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    window = F.struct("centre", F.col("to.centre").alias("to_centre"))
+    return pairs.groupBy("doc_id", "mark", F.col("to.doc_id").alias("to_id"), F.col("to.mark").alias("to_mark")).agg(F.first("to.words").alias("to_words"), F.collect_list(window).alias("windows"))
+
+
+def _nearest(values: np.ndarray, wanted: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """For each wanted value its place in values nearest to the expected one and within REACH, or -1; of two the first."""
+    kinds, kind = np.unique(values, return_inverse=True)
+    stride = len(values) + 1
+    places = np.sort(kind * stride + np.arange(len(values)))
+    k = np.minimum(np.searchsorted(kinds, wanted), len(kinds) - 1)
+    after = np.searchsorted(places, k * stride + np.clip(expected, 0, len(values)))
+    best = np.full(len(wanted), -1)
+    far = np.full(len(wanted), REACH + 1)
+    for spot in (np.maximum(after - 1, 0), np.minimum(after, len(places) - 1)):
+        away = np.where((places[spot] // stride == k) & (kinds[k] == wanted), np.abs(places[spot] % stride - expected), REACH + 1)
+        best, far = np.where(away < far, places[spot] % stride, best), np.minimum(away, far)
+    return best
+
+
+def verify(own: np.ndarray, other: np.ndarray, centre: np.ndarray, to_centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which shingles of own lie in a passage that other repeats, and which of other's are its counterparts.
 
-    windows has a row (fn, centre, first, last, to_centre) for each shared compact window.
+    A shingle's counterpart is the equal one nearest to where the nearest shared window (centre, to_centre) puts it.
     """
     n, m = len(own), len(other)
     starts = n - LEAST + 1
     mine, theirs = np.zeros(n, bool), np.zeros(m, bool)
-    if starts < 1:
-        return mine, theirs
-    fn, centre, first, last, to = windows.T
-    agreeing = np.zeros(starts, np.int64)
-    for k in np.unique(fn):
-        w = fn == k
-        change = np.zeros(starts + 1, np.int64)
-        low = np.maximum(first[w], 0 if k == ALL else np.maximum(centre[w] - LEAST + 1, 0))
-        high = np.minimum(np.minimum(centre[w], last[w] - LEAST + 1), starts - 1)
-        has = low <= high
-        np.add.at(change, low[has], 1)
-        np.add.at(change, high[has] + 1, -1)
-        agreeing += (np.cumsum(change[:-1]) > 0) * (HASHES if k == ALL else 1)
-    if not (agreeing >= AGREEING).any():
+    if starts < 1 or not m or not len(centre):
         return mine, theirs
     order = np.argsort(centre, kind="stable")
-    centre, shift = centre[order], (to - centre)[order]
-    near = np.clip(np.searchsorted(centre, np.arange(n)), 0, len(centre) - 1)
-    before = np.maximum(near - 1, 0)
+    centre, shift = centre[order], (to_centre - centre)[order]
     places = np.arange(n)
+    near = np.clip(np.searchsorted(centre, places), 0, len(centre) - 1)
+    before = np.maximum(near - 1, 0)
     near = np.where(np.abs(centre[before] - places) <= np.abs(centre[near] - places), before, near)
     expected = places + shift[near]
     inside = (expected >= 0) & (expected < m)
     at = np.where(inside & (other[np.clip(expected, 0, m - 1)] == own), expected, -1)
-    if (at < 0).any():  # words put in or left out move the counterpart: the nearest equal shingle within REACH
-        ranks = np.argsort(other, kind="stable")
-        ordered = other[ranks]
-        miss = np.flatnonzero(at < 0)
-        low = np.searchsorted(ordered, own[miss])
-        best = np.full(len(miss), -1)
-        span = np.searchsorted(ordered, own[miss], side="right") - low
-        for step in range(int(span.max(initial=0))):
-            has = span > step
-            spot = ranks[np.clip(low + step, 0, m - 1)]
-            closer = has & (np.abs(spot - expected[miss]) <= REACH) & ((best < 0) | (np.abs(spot - expected[miss]) < np.abs(best - expected[miss])))
-            best = np.where(closer, spot, best)
-        at[miss] = best
-    matched = at >= 0
-    both = np.convolve(matched, np.ones(LEAST, np.int64), "valid") if n < 4096 else np.diff(np.concatenate(([0], np.cumsum(matched)))[np.stack((np.arange(starts), np.arange(starts) + LEAST))], axis=0)[0]
-    low = _sliding(np.where(matched, at, m), LEAST, True)
-    high = _sliding(np.where(matched, at, -1), LEAST, False)
-    either = LEAST + (high - low + 1) - both
-    good = np.flatnonzero((agreeing >= AGREEING) & (both >= THRESHOLD * either - 1e-9) & (both > 0))
-    for marks, begin, end in ((mine, good, good + LEAST), (theirs, low[good], high[good] + 1)):
+    miss = np.flatnonzero(at < 0)
+    if len(miss):  # words put in or left out move the counterpart
+        at[miss] = _nearest(other, own[miss], expected[miss])
+    good, low, high = _good(at[None], m)
+    good = np.flatnonzero(good[0])
+    for marks, begin, end in ((mine, good, good + LEAST), (theirs, low[0, good], high[0, good] + 1)):
         change = np.zeros(len(marks) + 1, np.int64)
         np.add.at(change, begin, 1)
         np.add.at(change, end, -1)
@@ -310,6 +205,18 @@ def verify(own: np.ndarray, other: np.ndarray, windows: np.ndarray) -> tuple[np.
     return mine, theirs
 
 
+def _good(at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of counterparts (below m, or -1): which LEAST in a row are a repeat, and the first and last counterpart."""
+    matched = at >= 0
+    sums = np.zeros((len(at), at.shape[1] + 1), np.int32)
+    np.cumsum(matched, axis=1, out=sums[:, 1:])
+    both = sums[:, LEAST:] - sums[:, :-LEAST]
+    low = _sliding(np.where(matched, at, m), LEAST, True, 1)
+    high = _sliding(at, LEAST, False, 1)
+    either = LEAST + (high - low + 1) - both
+    return (both >= THRESHOLD * either - 1e-9) & (both > 0), low, high
+
+
 def _spans(marks: np.ndarray) -> list[dict]:
     """Runs of marked shingles as ranges of words: from, to (exclusive)."""
     edges = np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))
@@ -317,40 +224,37 @@ def _spans(marks: np.ndarray) -> list[dict]:
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))
+_ARROW_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+
+
+def _pair_schema(docs: DataFrame) -> T.StructType:
+    kind, number = docs.schema["doc_id"].dataType, T.IntegerType()
+    fields = {"doc_id": kind, "mark": T.LongType(), "spans": _SPAN, "to_id": kind, "to_mark": T.LongType(), "to_words": number, "to_spans": _SPAN}
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
 def _node(doc_id: str, mark: str) -> Column:
-    """A document's name: its id and its text's hash."""
+    """A document's name as a key to join on: its id and its text's hash."""
     return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("/"), F.hex(mark))
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs with text and to_text, the texts of both documents.
+def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """node and text of the documents whose text's hash is among marks, and of a few others.
 
-    Rows of docs whose mark no pair shares by hash position are dropped before the shuffle; the positions are a
-    broadcast table of at most POSITIONS rows. Both joins use one exchange of the texts.
+    Rows whose mark no wanted one shares by hash position are dropped before the shuffle; the positions are a broadcast
+    table of at most POSITIONS rows.
     """
-    marks = pairs.select("mark").union(pairs.select("to_mark"))
     spots = F.broadcast(marks.select(F.pmod("mark", F.lit(POSITIONS)).alias("spot")).distinct())
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(spots, F.pmod("mark", F.lit(POSITIONS)) == F.col("spot"), "left_semi")
-    texts = rows.groupBy(_node("doc_id", "mark").alias("node")).agg(F.first("text").alias("text"))
-    theirs = pairs.withColumn("node", _node("to_id", "to_mark")).join(texts.withColumnRenamed("text", "to_text"), "node").drop("node")
-    return theirs.withColumn("node", _node("doc_id", "mark")).join(texts, "node").drop("node")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """Per verified pair: doc_id, mark, spans (words that repeat the other document's), to_id, to_mark, to_spans."""
-    shared = shared_windows(occurrences(docs))
-    first = verified_pairs(docs, stored(linked_documents(shared)))
-    return first.unionByName(verified_pairs(docs, stored(open_pairs(shared, first))))
+    return rows.groupBy(_node("doc_id", "mark").alias("node")).agg(F.first("text").alias("text"))
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that verify, as repeats gives them."""
-    with_texts = texts_of(docs, pairs)
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()), T.StructField("spans", _SPAN), T.StructField("to_id", kind), T.StructField("to_mark", T.LongType()), T.StructField("to_spans", _SPAN)])
-    spans_type = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    """The pairs that verify, as repeats gives them. Both joins with the texts use one exchange of them."""
+    texts = _texts(docs, pairs.select("mark").union(pairs.select("to_mark")))
+    theirs = pairs.withColumn("node", _node("to_id", "to_mark")).join(texts.withColumnRenamed("text", "to_text"), "node").drop("node")
+    with_texts = theirs.withColumn("node", _node("doc_id", "mark")).join(texts, "node").drop("node")
+    schema = _pair_schema(docs)
 
     def sequences(column: pa.Array) -> list[np.ndarray]:
         out = []
@@ -366,16 +270,143 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 marks = []
                 for own, other, windows in zip(sequences(batch.column("text")), sequences(batch.column("to_text")), batch.column("windows"), strict=True):
                     fields = windows.values
-                    table = np.stack([fields.field(c).to_numpy() for c in ("fn", "centre", "first", "last", "to_centre")], 1).astype(np.int64)
-                    marks.append(verify(own, other, table))
+                    marks.append(verify(own, other, *(fields.field(c).to_numpy().astype(np.int64) for c in ("centre", "to_centre"))))
                 hit = pa.array([i for i, (mine, _) in enumerate(marks) if mine.any()], pa.int64())
-                spans = [pa.array([_spans(marks[i.as_py()][side]) for i in hit], spans_type) for side in (0, 1)]
+                spans = [pa.array([_spans(marks[i.as_py()][side]) for i in hit], _ARROW_SPANS) for side in (0, 1)]
                 take = lambda c: batch.column(c).take(hit)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([take("doc_id"), take("mark"), spans[0], take("to_id"), take("to_mark"), spans[1]], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([take("doc_id"), take("mark"), spans[0], take("to_id"), take("to_mark"), take("to_words"), spans[1]], schema.fieldNames())
 
     return stored(map_batches(with_texts, run, schema))
 
 
+def open_windows(shared: DataFrame, verified: DataFrame) -> DataFrame:
+    """The windows that are still to be compared with others of their key: those of shared_windows but each key's first,
+    with members (windows of the key), of (a number for the document), label (the first document it is linked to, or
+    itself) and covered (a passage that goes holds all centres). Keys are left out whose windows are all covered and of one
+    label, or of one document: each was compared with the key's first."""
+    goes = verified.groupBy("doc_id", "mark").agg(_joined(F.flatten(F.collect_set("spans"))).alias("goes"), F.min(F.struct("to_words", "to_id", "to_mark")).alias("to_doc"))
+    goes = goes.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "goes", F.xxhash64("to_doc.to_id", "to_doc.to_mark").alias("label"))
+    first = F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark")) & (F.col("centre") == F.col("to.centre"))
+    rows = shared.where(~first).drop("to").join(goes, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    of = F.xxhash64("doc_id", "mark")
+    covered = F.coalesce(F.expr(f"exists(goes, s -> s.from <= low and s.to >= high + {WIDTH})"), F.lit(False))
+    rows = stored(rows.withColumns({"of": of, "label": F.coalesce("label", of), "covered": covered}).drop("_id", "_mark", "goes"))
+    ends = lambda c: (F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_b"))
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *ends("of"), *ends("label"), F.bool_and("covered").alias("all_covered"))
+    keys = stored(keys.where("of_a <> of_b and (label_a <> label_b or not all_covered)").select("key", "members"))
+    return rows.join(keys, "key")
+
+
+def _with_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's windows as rows, with the 32-bit hashes of the shingles AROUND each centre; 0 beyond its ends."""
+    for batch in batches:
+        for c in chunks(batch.column("text")):
+            part = batch.slice(c.first, c.n)
+            found, per_row, _ = shingles(c, WIDTH)
+            end = np.cumsum(per_row)
+            short = (found >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            windows = part.column("windows")
+            rows = np.repeat(np.arange(c.n), np.diff(windows.offsets.to_numpy()))
+            fields = windows.flatten()
+            for i in range(0, len(rows), 4096):
+                own, some = rows[i : i + 4096], fields.slice(i, 4096)
+                at = (end - per_row)[own][:, None] + some.field("centre").to_numpy()[:, None] + np.arange(-AROUND, AROUND + 1)
+                inside = (at >= (end - per_row)[own][:, None]) & (at < end[own][:, None])
+                around = np.where(inside, short[np.clip(at, 0, max(len(short) - 1, 0))], np.uint32(0))
+                columns = [*(part.column(x).take(pa.array(own)) for x in _OWN), *(some.field(x) for x in _WINDOW), _fixed(around)]
+                yield pa.RecordBatch.from_arrays(columns, [*_OWN, *_WINDOW, "around"])
+
+
+_OWN = ("doc_id", "mark", "words", "of", "label")
+_WINDOW = ("key", "members", "centre", "low", "high", "covered")
+
+
+def repeats_around(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows of shingles around centres that match: which share a run of RUN and have a repeat that holds the
+    centre (indices), and of the repeats together the first and last shingle of own and of other, counted from the centre."""
+    near = slice(AROUND - RUN + 1, AROUND + RUN)
+    same = (own[:, near] == other[:, near]) & (own[:, near] != 0)
+    stop = np.zeros((len(own), 1), bool)
+    left = np.concatenate((same[:, RUN - 1 :: -1], stop), 1).argmin(1)
+    right = np.concatenate((same[:, RUN - 1 :], stop), 1).argmin(1)
+    pairs = np.flatnonzero(left + right - 1 >= RUN)
+    own, other = own[pairs], other[pairs]
+    width = 2 * LEAST - 1
+    mine = own[:, MOVED : MOVED + width]
+    at = np.full(mine.shape, -1, np.int32)
+    places = np.arange(width, dtype=np.int32)
+    for moved in sorted(range(-MOVED, MOVED + 1), key=abs):
+        theirs = other[:, MOVED + moved : MOVED + moved + width]
+        at = np.where((at < 0) & (mine == theirs) & (mine != 0), places + (MOVED + moved), at)
+    good, low, high = _good(at, other.shape[1])
+    good &= (mine[:, :LEAST] != 0) & (mine[:, LEAST - 1 :] != 0)  # within the text
+    hit = good.any(1)
+    good, low, high = good[hit], low[hit], high[hit]
+    first, last = good.argmax(1), good.shape[1] - 1 - good[:, ::-1].argmax(1)
+    low, high = np.where(good, low, other.shape[1]).min(1), np.where(good, high, -1).max(1)
+    return pairs[hit], first - LEAST + 1, last, low - AROUND, high - AROUND
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = ["key", "first", "second"]
+    for table in whole_groups(batches, keys, 8192):
+        near = _matrix(table.column("around"), np.uint32, 2 * AROUND + 1)
+        of, centre, low, high, words = (table.column(c).to_numpy() for c in ("of", "centre", "low", "high", "words"))
+        covered = table.column("covered").to_numpy(zero_copy_only=False).copy() if table.column("covered").num_chunks == 1 else np.asarray(table.column("covered")).copy()
+        kinds, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        n = table.num_rows
+        begin, end = [np.full(n, 1 << 30), np.full(n, 1 << 30)], [np.full(n, -1), np.full(n, -1)]
+        later, earlier = [], []
+        for a, b in _pairs(group_bounds(table, keys), table.column("side").to_numpy(), 1 << 13):
+            stay = (of[a] != of[b]) & (~covered[b] | (label[a] != label[b]))
+            a, b = a[stay], b[stay]  # a is before b in the order
+            if not len(a):
+                continue
+            hit, *found = repeats_around(near[b], near[a])
+            a, b = a[hit], b[hit]
+            for side, (at, first, last) in enumerate(((b, *found[:2]), (a, *found[2:]))):
+                np.minimum.at(begin[side], at, centre[at] + first)
+                np.maximum.at(end[side], at, centre[at] + last)
+            covered[b] |= (begin[0][b] <= low[b]) & (end[0][b] >= high[b])
+            kept = np.union1d(np.unique(b * len(kinds) + label[a], return_index=True)[1], np.unique(a, return_index=True)[1])
+            later.append(b[kept])
+            earlier.append(a[kept])
+            if (label[a] != label[b]).any():
+                label = label_pairs(label[a], label[b], len(kinds))[label]
+        if not later:
+            continue
+        later, earlier = np.concatenate(later), np.concatenate(earlier)
+        span = lambda side, at: pa.ListArray.from_arrays(
+            pa.array(np.arange(len(at) + 1, dtype=np.int32)),
+            pa.StructArray.from_arrays([pa.array(begin[side][at].astype(np.int32)), pa.array((end[side][at] + WIDTH).astype(np.int32))], ["from", "to"]),  # noqa: B023
+        )
+        take = lambda c, at: table.column(c).take(pa.array(at)).combine_chunks()  # noqa: E731, B023
+        columns = [take("doc_id", later), take("mark", later), span(0, later), take("doc_id", earlier), take("mark", earlier), pa.array(words[earlier]), span(1, earlier)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "spans", "to_id", "to_mark", "to_words", "to_spans"])
+
+
+def settled_pairs(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Of windows (as open_windows gives them), the links and passages that comparing all of each key adds, as repeats."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    listed = windows.groupBy("doc_id", "mark").agg(*(F.first(c).alias(c) for c in _OWN[2:]), F.collect_list(F.struct(*_WINDOW)).alias("windows"))
+    listed = stored(listed)
+    with_texts = listed.withColumn("node", _node("doc_id", "mark")).join(_texts(docs, listed), "node").select(*_OWN, "windows", "text")
+    schema = f"doc_id {kind}, mark long, words int, of long, label long, key long, members long, centre int, low int, high int, covered boolean, around binary"
+    around = map_batches(with_texts, _with_around, schema).withColumn("node", F.xxhash64("of", "centre"))
+    grouped = in_blocks(around, "key", "members", ("words", "doc_id", "mark", "centre"))
+    return stored(map_batches(grouped, _settle, _pair_schema(docs)))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Links: doc_id, mark, spans (ranges of words that repeat the other document's), to_id, to_mark, to_words, to_spans.
+
+    Links hold all repeats together and their spans are all that goes; pairs that add to neither may be left out.
+    """
+    shared = shared_windows(occurrences(docs))
+    first = verified_pairs(docs, stored(linked_documents(shared)))
+    return first.unionByName(settled_pairs(docs, open_windows(shared, first)))
+
+
 def _joined(spans, floor: str = "from"):
     """Overlapping or touching ranges as one, in order."""
     ordered = F.array_sort(spans)
@@ -391,21 +422,18 @@ def passages(docs: DataFrame) -> DataFrame:
     """Per document with a repeat: doc_id, mark, class_id, n_links, removed and repeated.
 
     removed are the ranges of words that repeat an earlier document's, repeated those and the ranges that later ones
-    repeat. class_id is the least id that repeats lead to, n_links the number of documents linked directly.
+    repeat. class_id is the least id that repeats lead to, n_links the number of documents that repeats links it to.
     """
     found = repeats(docs)
-    sides = found.select("doc_id", "mark", _node("doc_id", "mark").alias("node"), F.col("spans").alias("removed"), "spans").unionByName(
-        found.select(F.col("to_id").alias("doc_id"), F.col("to_mark").alias("mark"), _node("to_id", "to_mark").alias("node"), F.col("to_spans").alias("spans")), allowMissingColumns=True
-    )
+    name = lambda doc_id, mark: F.struct(F.isnull(doc_id).alias("none"), F.col(doc_id).alias("doc_id"), F.col(mark).alias("mark"))
+    links = found.select(name("doc_id", "mark").alias("a"), name("to_id", "to_mark").alias("b")).distinct()
+    sides = found.select(name("doc_id", "mark").alias("node"), F.lit(True).alias("goes"), "spans").union(found.select(name("to_id", "to_mark"), F.lit(False), "to_spans"))
     # a document that very many repeat adds the same ranges again and again: distinct ones are few
-    links = sides.groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n_links"))
-    ranges = sides.select("node", F.lit(True).alias("goes"), F.explode("removed").alias("span")).union(sides.select("node", F.lit(False), F.explode("spans"))).distinct()
-    lists = ranges.groupBy("node").agg(F.collect_list(F.when(F.col("goes"), F.col("span"))).alias("removed"), F.collect_list(F.when(~F.col("goes"), F.col("span"))).alias("repeated"))
-    labels = components(found.select(_node("doc_id", "mark").alias("a"), _node("to_id", "to_mark").alias("b")))
-    rows = links.join(labels, "node")
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    out = rows.join(least, "label").join(lists, "node")
-    return out.select("doc_id", "mark", "class_id", "n_links", _joined("removed").alias("removed"), _joined("repeated").alias("repeated"))
+    ranges = sides.select("node", "goes", F.explode("spans").alias("span")).distinct()
+    lists = ranges.groupBy("node").agg(F.collect_list(F.when(F.col("goes"), F.col("span"))).alias("removed"), F.collect_list("span").alias("repeated"))
+    counted = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    out = counted.join(components(links), "node").join(lists, "node")
+    return out.select("node.doc_id", "node.mark", F.col("label.doc_id").alias("class_id"), "n_links", _joined("removed").alias("removed"), _joined("repeated").alias("repeated"))
 
 
 def classed(docs: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from granary.llm import ann, bpe, chat, ctw, mixing, near, passages, quality, url_filter
-from granary.llm.arrays import chunks, shingles
+from granary.llm import ann, bpe, chat, ctw, mixing, near, quality, url_filter
+from granary.llm.arrays import chunks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, stats string, key string, mark string"
@@ -149,87 +149,6 @@ def test_mixing(spark, docs):
     assert words == got.taken.sum() and mixing.mix(docs.limit(0)).count() == 0
 
 
-# 5
-
-
-def test_passages(spark, docs):
-    got = {}
-    for r in passages.classed(docs).collect():
-        got.setdefault(r.doc_id, r)
-    assert {got[i].class_id for i in (0, 12, 13)} == {0}
-    assert got[16].class_id == got[17].class_id == got[18].class_id
-    assert all(not got[i].removed and not got[i].repeated for i in (6, 8, 9, 10, 11, 19, 20, 21, 23))
-    left = passages.without_repeats(docs).collect()
-    runs = Counter()
-    for i, text in {(r.doc_id, r.text or "") for r in left}:
-        words = WORD.findall(text)
-        runs.update({tuple(words[k : k + 50]) for k in range(len(words) - 49)})
-    assert max(runs.values()) == 1
-    assert left[0].__fields__ == docs.columns and passages.classed(docs.limit(0)).count() == 0
-
-
-def test_passages_near_each_other_but_not_the_keys_first(spark):
-    """Shorter texts hold most shingles of B and C, which are near each other only."""
-    rows, near_pairs = [], []
-    for f in range(16):
-        left, right = prose(900 + f, 28), prose(1900 + f, 28)
-        words = f"{left} {prose(2900 + f, 8)} {right}".split()
-        other = [*words]
-        other[3 + 3 * f] = "replaced"
-        a = [f"{left} {prose(3900 + f, 23)}", f"{prose(4900 + f, 23)} {right}"]
-        rows += [(4 * f + k, t) for k, t in enumerate([*a, " ".join(words), " ".join(other) + " tail"])]
-        centres = []
-        for text in (words, other):
-            found, per_row, _ = shingles(next(chunks(pa.array([" ".join(text)]))), passages.WIDTH)
-            centres.append(np.stack([found[passages.compact_windows(found, per_row, x)[3]] for x in passages._FACTORS]))
-        if ((centres[0] == centres[1]).sum(0) >= passages.AGREEING).any():
-            near_pairs.append(f)
-    got = {r.doc_id: r for r in passages.classed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert len(near_pairs) > 12
-    assert [f for f in near_pairs if not (got[4 * f + 3].removed and got[4 * f + 2].repeated)] == []
-    assert not any(got[4 * f + k].n_links for f in range(16) for k in (0, 1))
-
-
-def test_passages_at_the_threshold_are_candidates():
-    """50 words with one word replaced: at least 2 functions agree on the one start, in all but 8e-5 of pairs at 0.8."""
-    missed = 0
-    for f in range(1000):
-        words = prose(f, 50).split()
-        other = [*words]
-        other[5 + f % 40] = "replaced"
-        agreed = 0
-        rows = [shingles(next(chunks(pa.array([" ".join(w)]))), passages.WIDTH)[:2] for w in (words, other)]
-        for factor in passages._FACTORS:
-            own, its = (found[passages.compact_windows(found, per_row, factor)[3][0]] for found, per_row in rows)
-            agreed += own == its
-        missed += agreed < passages.AGREEING
-    assert missed <= 2
-
-
-def test_compact_windows_are_the_tree_nodes():
-    random = np.random.default_rng(1)
-    for trial in range(12):
-        per_row = random.integers(0, 200, 4)
-        found = random.integers(0, 2**63, per_row.sum(), dtype=np.uint64)
-        if trial % 3 == 0 and len(found):
-            found = random.choice(found[:30], len(found))  # ties
-        centres, first, last, _ = passages.compact_windows(found, per_row, passages._FACTORS[0])
-        bits = np.uint64(max(1, len(found).bit_length()))
-        order = (found * passages._FACTORS[0]) >> bits << bits | np.arange(len(found), dtype=np.uint64)
-        want, begin = [], 0
-        for n in per_row:
-            for c in range(begin, begin + n):
-                a = b = c
-                while a > begin and order[a - 1] > order[c]:
-                    a -= 1
-                while b < begin + n - 1 and order[b + 1] > order[c]:
-                    b += 1
-                if b - a + 1 >= passages.LEAST:
-                    want.append((c, max(a, c - 63), min(b, c + 63)))
-            begin += n
-        assert want == list(zip(centres, first, last, strict=True))
-
-
 # 6
 
 
