@@ -78,11 +78,15 @@ def centres(found: np.ndarray, per_row: np.ndarray, factor: np.uint64) -> np.nda
     return np.where(starts + RUN <= np.repeat(np.cumsum(per_row), per_row)[starts], (_sliding(order, RUN, True) & _PLACE).astype(np.int64), -1)
 
 
-def joint_windows(found: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows with LEAST shingles or more: each joint window's key, row, first function's centre, least and last centre."""
+def joint_windows(found: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with LEAST shingles or more: each joint window's key, row, first function's centre, least and last centre,
+    and hashes of half of what a run around the centres lacks, to the left and to the right; -1 where the row ends before.
+
+    A run of RUN that holds the centres reaches so far on one side at least, so of a repeat's windows one hash agrees.
+    """
     at = np.stack([centres(found, per_row, f) for f in _FACTORS])
     if not at.shape[1]:
-        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(6))
     change = np.ones(at.shape[1], bool)
     change[1:] = (at[:, 1:] != at[:, :-1]).any(0)
     at = at[:, change & (at[0] >= 0)]
@@ -92,8 +96,11 @@ def joint_windows(found: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, n
     sums = np.zeros(len(found) + 1, np.uint64)
     np.cumsum(mix(found), out=sums[1:])
     keys = mix(mix(sums[high + 1] - sums[low]) + mix(found[low] + (high - low).astype(np.uint64)))
-    begin = (np.cumsum(per_row) - per_row)[rows]
-    return keys, rows, at[0] - begin, low - begin, high - begin
+    begin, end = (np.cumsum(per_row) - per_row)[rows], np.cumsum(per_row)[rows]
+    half = (RUN - (high - low)) // 2
+    reach = lambda a, b, inside: np.where(inside, (mix(sums[np.where(inside, b, 0)] - sums[np.where(inside, a, 0)]) >> np.uint64(33)).astype(np.int64), -1)
+    left, right = reach(low - half, high + 1, low - half >= begin), reach(low, high + 1 + half, high + half < end)
+    return keys, rows, at[0] - begin, low - begin, high - begin, left, right
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +122,9 @@ def repeated_bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The joint windows whose key other windows may have too: key, doc_id, mark, words, centre, low, high.
+    """The joint windows whose key other windows may have too: key, doc_id, mark, words, centre, low, high, left, right.
 
-    low and high are the least and last of the functions' centres. A few keys are there only because the bitmap shares a
+    low and high are the least and last of the functions' centres, left and right hashes of what is around them. A few keys are there only because the bitmap shares a
     bit; they have one occurrence and link nothing.
     """
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
@@ -138,22 +145,23 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 rows, *numbers = (x[hit] for x in places)
                 numbers = (per_row[rows] + WIDTH - 1, *numbers)
                 columns = [pa.array(keys[hit].view(np.int64)), *(part.column(x).take(pa.array(rows)) for x in ("doc_id", "mark"))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in numbers)], ["key", "doc_id", "mark", "words", "centre", "low", "high"])
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in numbers)], ["key", "doc_id", "mark", "words", "centre", "low", "high", "left", "right"])
 
-    return map_batches(marked, run, f"key long, doc_id {kind}, mark long, words int, centre int, low int, high int")
+    return stored(map_batches(marked, run, f"key long, doc_id {kind}, mark long, words int, centre int, low int, high int, left int, right int"))
 
 
 def shared_windows(found: DataFrame) -> DataFrame:
     """The windows whose key has others, with the key's first one: to."""
     # written first, so that both sides of the join are plain exchanges, of which a hot key's can be split
-    earliest = found.groupBy("key").agg(F.min(F.struct("words", "doc_id", "mark", "centre")).alias("to"), F.count(F.lit(1)).alias("n"))
+    earliest = found.groupBy("key").agg(F.min(F.struct("words", "doc_id", "mark", "centre", "left", "right")).alias("to"), F.count(F.lit(1)).alias("n"))
     earliest = stored(earliest.where("n > 1").select("key", "to"))
     return stored(found.join(earliest, "key"))
 
 
 def linked_documents(shared: DataFrame) -> DataFrame:
     """Per pair of a document and a key's first one: (doc_id, mark), (to_id, to_mark), to_words and the windows they share."""
-    pairs = shared.where(~(F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark"))))
+    around = F.expr("(left = to.left and left >= 0) or (right = to.right and right >= 0)")
+    pairs = shared.where(around & ~(F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark"))))
     window = F.struct("centre", F.col("to.centre").alias("to_centre"))
     return pairs.groupBy("doc_id", "mark", F.col("to.doc_id").alias("to_id"), F.col("to.mark").alias("to_mark")).agg(F.first("to.words").alias("to_words"), F.collect_list(window).alias("windows"))
 
@@ -250,11 +258,15 @@ def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that verify, as repeats gives them. Both joins with the texts use one exchange of them."""
+    """The pairs that verify, as repeats gives them. Equal texts repeat each other whole; for the others, both joins with
+    the texts use one exchange of them."""
+    schema = _pair_schema(docs)
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("to_words").alias("to")))
+    copies = pairs.where("mark = to_mark").withColumns({"spans": whole, "to_spans": whole}).select(*schema.fieldNames())
+    pairs = pairs.where("mark <> to_mark")
     texts = _texts(docs, pairs.select("mark").union(pairs.select("to_mark")))
     theirs = pairs.withColumn("node", _node("to_id", "to_mark")).join(texts.withColumnRenamed("text", "to_text"), "node").drop("node")
     with_texts = theirs.withColumn("node", _node("doc_id", "mark")).join(texts, "node").drop("node")
-    schema = _pair_schema(docs)
 
     def sequences(column: pa.Array) -> list[np.ndarray]:
         out = []
@@ -276,21 +288,33 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 take = lambda c: batch.column(c).take(hit)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([take("doc_id"), take("mark"), spans[0], take("to_id"), take("to_mark"), take("to_words"), spans[1]], schema.fieldNames())
 
-    return stored(map_batches(with_texts, run, schema))
+    return stored(copies.unionByName(map_batches(with_texts, run, schema)))
 
 
 def open_windows(shared: DataFrame, verified: DataFrame) -> DataFrame:
     """The windows that are still to be compared with others of their key: those of shared_windows but each key's first,
-    with members (windows of the key), of (a number for the document), label (the first document it is linked to, or
-    itself) and covered (a passage that goes holds all centres). Keys are left out whose windows are all covered and of one
-    label, or of one document: each was compared with the key's first."""
-    goes = verified.groupBy("doc_id", "mark").agg(_joined(F.flatten(F.collect_set("spans"))).alias("goes"), F.min(F.struct("to_words", "to_id", "to_mark")).alias("to_doc"))
-    goes = goes.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "goes", F.xxhash64("to_doc.to_id", "to_doc.to_mark").alias("label"))
+    with of (a number for the document), label (of its class so far) and covered (a passage that goes holds all centres).
+
+    key is the key together with what is around it on one side, so a window comes once or twice; members counts a key's
+    windows. Keys are left out whose windows are all covered and of one label, or of one document.
+    """
+    of, to = F.xxhash64("doc_id", "mark"), F.xxhash64("to_id", "to_mark")
+    labels = components(verified.select(of.alias("a"), to.alias("b")))
+    goes = verified.groupBy("doc_id", "mark").agg(_joined(F.flatten(F.collect_set("spans"))).alias("goes"))
+    goes = goes.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "goes")
     first = F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark")) & (F.col("centre") == F.col("to.centre"))
-    rows = shared.where(~first).drop("to").join(goes, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    of = F.xxhash64("doc_id", "mark")
+    rows = shared.where(~first).drop("to").withColumn("of", of)
+    rows = rows.join(goes, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").join(labels.withColumnRenamed("node", "of"), "of", "left")
     covered = F.coalesce(F.expr(f"exists(goes, s -> s.from <= low and s.to >= high + {WIDTH})"), F.lit(False))
-    rows = stored(rows.withColumns({"of": of, "label": F.coalesce("label", of), "covered": covered}).drop("_id", "_mark", "goes"))
+    rows = stored(rows.withColumns({"label": F.coalesce("label", "of"), "covered": covered}).drop("_id", "_mark", "goes"))
+    left = _unsettled(rows)
+    sided = left.withColumn("side", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("left").alias("hash")), F.struct(F.lit(1).alias("at"), F.col("right").alias("hash")))))
+    sided = stored(sided.where("side.hash >= 0").withColumn("key", F.xxhash64("key", "side.at", "side.hash")).drop("side", "left", "right", "members"))
+    return _unsettled(sided)
+
+
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """rows with members, without those of keys that have nothing to settle."""
     ends = lambda c: (F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_b"))
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *ends("of"), *ends("label"), F.bool_and("covered").alias("all_covered"))
     keys = stored(keys.where("of_a <> of_b and (label_a <> label_b or not all_covered)").select("key", "members"))
@@ -368,11 +392,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.minimum.at(begin[side], at, centre[at] + first)
                 np.maximum.at(end[side], at, centre[at] + last)
             covered[b] |= (begin[0][b] <= low[b]) & (end[0][b] >= high[b])
-            kept = np.union1d(np.unique(b * len(kinds) + label[a], return_index=True)[1], np.unique(a, return_index=True)[1])
+            kept = [np.unique(side, return_index=True)[1] for side in (a, b)]
+            while (apart := np.flatnonzero(label[a] != label[b])).size:  # a link for each label that joins another
+                apart = apart[np.unique(label[b[apart]], return_index=True)[1]]
+                kept.append(apart)
+                label = label_pairs(label[a[apart]], label[b[apart]], len(kinds))[label]
+            kept = np.unique(np.concatenate(kept))
             later.append(b[kept])
             earlier.append(a[kept])
-            if (label[a] != label[b]).any():
-                label = label_pairs(label[a], label[b], len(kinds))[label]
         if not later:
             continue
         later, earlier = np.concatenate(later), np.concatenate(earlier)

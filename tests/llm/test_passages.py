@@ -150,7 +150,7 @@ def test_passages_near_each_other_but_not_the_keys_first(spark):
 
 def test_nulls_copies_long_texts_and_clashing_names(spark):
     texts = [prose(i, 120 + 13 * i) for i in range(8)]
-    texts += [texts[0], texts[0], texts[3] + " " + prose(99, 70), texts[4] + " " + prose(99, 70), prose(99, 70), "", None, " \n\t ", "a b " * 3000, "a b " * 2500 + "c", "one two", prose(7, 20000)]
+    texts += [texts[0], texts[0], texts[3] + " " + prose(99, 70), texts[4] + " " + prose(99, 70), prose(99, 70), "", None, " \n\t ", "a b " * 3000, "a b " * 2500 + "c", "one two", prose(77, 20000)]
     rows = [(i, t, "x", "y", "z", 1) for i, t in enumerate(texts)] + [(0, texts[0], "x", "y", "z", 1), (None, texts[5], None, None, None, None), (None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string, mark string, to string, n_chars long").repartition(3)
     got = {}
@@ -185,7 +185,7 @@ def test_joint_windows_hold_the_minima_of_all_functions():
         found = random.integers(0, 2**63, per_row.sum(), dtype=np.uint64)
         if trial % 3 == 0 and len(found):
             found = random.choice(found[:30], len(found))  # ties
-        keys, rows, centre, low, high = passages.joint_windows(found, per_row)
+        keys, rows, centre, low, high, left, right = passages.joint_windows(found, per_row)
         want, begin = [], 0
         for row, n in enumerate(per_row):
             last = None
@@ -197,6 +197,8 @@ def test_joint_windows_hold_the_minima_of_all_functions():
                 last = at
             begin += n
         assert want == list(zip(rows, centre, low, high, strict=True)) and len(keys) == len(want)
+        half = (passages.RUN - (high - low)) // 2
+        assert ((left >= 0) == (low >= half)).all() and ((right >= 0) == (high + half < per_row[rows])).all()
 
 
 def test_every_repeat_shares_a_joint_window():
@@ -210,5 +212,6 @@ def test_every_repeat_shares_a_joint_window():
         keys = []
         for text in (words, other):
             found, per_row, _ = shingles(next(chunks(pa.array([" ".join(text)]))), passages.WIDTH)
-            keys.append(set(passages.joint_windows(found, per_row)[0].tolist()))
+            key, *_, left, right = passages.joint_windows(found, per_row)
+            keys.append({*zip(key.tolist(), left.tolist(), strict=True)} | {*zip((key + np.uint64(1)).tolist(), right.tolist(), strict=True)})
         assert keys[0] & keys[1]
