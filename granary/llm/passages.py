@@ -43,13 +43,15 @@ from pyspark.sql import types as T
 from .arrays import chunks, map_batches, mix, shingles
 from .components import components, group_bounds, label_pairs, whole_groups
 from .lineage import stored
-from .near import _fixed, _matrix, _pairs, in_blocks
+from .near import _fixed, _matrix, in_blocks
 
 WIDTH, SPAN, RUN, HASHES, THRESHOLD, REACH = 5, 50, 20, 2, 0.8, 63
 LEAST = SPAN - WIDTH + 1
 #: How far the counterpart of a passage's shingle can be moved, and the shingles around a run's centre that are compared.
 MOVED = 11
 AROUND = LEAST - 1 + MOVED
+#: Windows of a key in a block; two blocks meet in a task, with 4 * (2 * AROUND + 1) bytes a window.
+BLOCK = 8192
 #: Bits of the bitmap of repeated keys, and hash positions that mark which texts are needed again.
 BITS, POSITIONS = 1 << 26, 1 << 20
 
@@ -103,6 +105,18 @@ def joint_windows(found: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, n
     return keys, rows, at[0] - begin, low - begin, high - begin, left, right
 
 
+def same_around(found: np.ndarray, per_row: np.ndarray, rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """A hash of the shingles AROUND each centre, in order, and of where the row ends among them."""
+    powers = np.full(len(found), 0x9E3779B97F4A7C15, np.uint64)
+    inverse = np.full(len(found) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+    powers[:1] = inverse[:1] = 1
+    sums = np.zeros(len(found) + 1, np.uint64)
+    np.cumsum(found * np.multiply.accumulate(powers), out=sums[1:])
+    begin, end = (np.cumsum(per_row) - per_row)[rows], np.cumsum(per_row)[rows]
+    low, high = np.maximum(begin, begin + centre - AROUND), np.minimum(end, begin + centre + AROUND + 1)
+    return mix((sums[high] - sums[low]) * np.multiply.accumulate(inverse)[low] + mix(((begin + centre - low) * (4 * AROUND) + high - low).astype(np.uint64)))
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in chunks(batch.column("text")):
@@ -122,9 +136,11 @@ def repeated_bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The joint windows whose key other windows may have too: key, doc_id, mark, words, centre, low, high, left, right.
+    """The joint windows whose key other windows may have too: key, doc_id, mark, words, centres, low, high, left, right.
 
-    low and high are the least and last of the functions' centres, left and right hashes of what is around them. A few keys are there only because the bitmap shares a
+    low and high are the least and last of the functions' centres, counted from the first function's, left and right
+    hashes of what is around them. Windows of one document that also agree in all AROUND their centres are one row with
+    several centres, so a line that a text repeats is no hot group. A few keys are there only because the bitmap shares a
     bit; they have one occurrence and link nothing.
     """
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
@@ -142,18 +158,24 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 keys, *places = joint_windows(found, per_row)
                 spot = (keys.view(np.int64) % BITS).astype(np.int64)
                 hit = np.flatnonzero(bits[spot >> 6] >> (spot & 63) & 1)
-                rows, *numbers = (x[hit] for x in places)
-                numbers = (per_row[rows] + WIDTH - 1, *numbers)
-                columns = [pa.array(keys[hit].view(np.int64)), *(part.column(x).take(pa.array(rows)) for x in ("doc_id", "mark"))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in numbers)], ["key", "doc_id", "mark", "words", "centre", "low", "high", "left", "right"])
+                rows, centre = places[0][hit], places[1][hit]
+                alike = mix(same_around(found, per_row, rows, centre) + mix(keys[hit] ^ mix(rows.astype(np.uint64))))
+                order = np.argsort(alike, kind="stable")
+                first = np.flatnonzero(np.r_[True, alike[order][1:] != alike[order][:-1]][: len(order)])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(centre[order].astype(np.int32)))
+                one = order[first]
+                rows, _, low, high, *hashes = (x[hit][one] for x in places)
+                numbers = (low - centre[one], high - centre[one], *hashes)
+                columns = [pa.array(keys[hit][one].view(np.int64)), *(part.column(x).take(pa.array(rows)) for x in ("doc_id", "mark")), pa.array((per_row[rows] + WIDTH - 1).astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in numbers)], ["key", "doc_id", "mark", "words", "centres", "low", "high", "left", "right"])
 
-    return stored(map_batches(marked, run, f"key long, doc_id {kind}, mark long, words int, centre int, low int, high int, left int, right int"))
+    return stored(map_batches(marked, run, f"key long, doc_id {kind}, mark long, words int, centres array<int>, low int, high int, left int, right int"))
 
 
 def shared_windows(found: DataFrame) -> DataFrame:
     """The windows whose key has others, with the key's first one: to."""
     # written first, so that both sides of the join are plain exchanges, of which a hot key's can be split
-    earliest = found.groupBy("key").agg(F.min(F.struct("words", "doc_id", "mark", "centre", "left", "right")).alias("to"), F.count(F.lit(1)).alias("n"))
+    earliest = found.groupBy("key").agg(F.min(F.struct("words", "doc_id", "mark", F.element_at("centres", 1).alias("centre"), "left", "right")).alias("to"), F.count(F.lit(1)).alias("n"))
     earliest = stored(earliest.where("n > 1").select("key", "to"))
     return stored(found.join(earliest, "key"))
 
@@ -162,8 +184,8 @@ def linked_documents(shared: DataFrame) -> DataFrame:
     """Per pair of a document and a key's first one: (doc_id, mark), (to_id, to_mark), to_words and the windows they share."""
     around = F.expr("(left = to.left and left >= 0) or (right = to.right and right >= 0)")
     pairs = shared.where(around & ~(F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark"))))
-    window = F.struct("centre", F.col("to.centre").alias("to_centre"))
-    return pairs.groupBy("doc_id", "mark", F.col("to.doc_id").alias("to_id"), F.col("to.mark").alias("to_mark")).agg(F.first("to.words").alias("to_words"), F.collect_list(window).alias("windows"))
+    windows = F.transform("centres", lambda c: F.struct(c.alias("centre"), F.col("to.centre").alias("to_centre")))
+    return pairs.groupBy("doc_id", "mark", F.col("to.doc_id").alias("to_id"), F.col("to.mark").alias("to_mark")).agg(F.first("to.words").alias("to_words"), F.flatten(F.collect_list(windows)).alias("windows"))
 
 
 def _nearest(values: np.ndarray, wanted: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -293,19 +315,19 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def open_windows(shared: DataFrame, verified: DataFrame) -> DataFrame:
     """The windows that are still to be compared with others of their key: those of shared_windows but each key's first,
-    with of (a number for the document), label (of its class so far) and covered (a passage that goes holds all centres).
+    with of (a number for the document), label (of its class so far) and covered (passages that go hold all centres).
 
     key is the key together with what is around it on one side, so a window comes once or twice; members counts a key's
-    windows. Keys are left out whose windows are all covered and of one label, or of one document.
+    windows. Keys are left out whose windows are of one label, and all covered but those of their first document.
     """
     of, to = F.xxhash64("doc_id", "mark"), F.xxhash64("to_id", "to_mark")
     labels = components(verified.select(of.alias("a"), to.alias("b")))
     goes = verified.groupBy("doc_id", "mark").agg(_joined(F.flatten(F.collect_set("spans"))).alias("goes"))
     goes = goes.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "goes")
-    first = F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark")) & (F.col("centre") == F.col("to.centre"))
+    first = F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark")) & (F.element_at("centres", 1) == F.col("to.centre"))
     rows = shared.where(~first).drop("to").withColumn("of", of)
     rows = rows.join(goes, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").join(labels.withColumnRenamed("node", "of"), "of", "left")
-    covered = F.coalesce(F.expr(f"exists(goes, s -> s.from <= low and s.to >= high + {WIDTH})"), F.lit(False))
+    covered = F.coalesce(F.expr(f"forall(centres, c -> exists(goes, s -> s.from <= c + low and s.to >= c + high + {WIDTH}))"), F.lit(False))
     rows = stored(rows.withColumns({"label": F.coalesce("label", "of"), "covered": covered}).drop("_id", "_mark", "goes"))
     left = _unsettled(rows)
     sided = left.withColumn("side", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("left").alias("hash")), F.struct(F.lit(1).alias("at"), F.col("right").alias("hash")))))
@@ -315,9 +337,10 @@ def open_windows(shared: DataFrame, verified: DataFrame) -> DataFrame:
 
 def _unsettled(rows: DataFrame) -> DataFrame:
     """rows with members, without those of keys that have nothing to settle."""
-    ends = lambda c: (F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_b"))
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *ends("of"), *ends("label"), F.bool_and("covered").alias("all_covered"))
-    keys = stored(keys.where("of_a <> of_b and (label_a <> label_b or not all_covered)").select("key", "members"))
+    name = F.struct("words", "doc_id", "mark")
+    labels = (F.min("label").alias("one"), F.max("label").alias("another"))
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *labels, F.min(name).alias("first"), F.max(F.when(~F.col("covered"), name)).alias("last"))
+    keys = stored(keys.where("one <> another or last > first").select("key", "members"))
     return rows.join(keys, "key")
 
 
@@ -334,7 +357,8 @@ def _with_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fields = windows.flatten()
             for i in range(0, len(rows), 4096):
                 own, some = rows[i : i + 4096], fields.slice(i, 4096)
-                at = (end - per_row)[own][:, None] + some.field("centre").to_numpy()[:, None] + np.arange(-AROUND, AROUND + 1)
+                centre = some.field("centres").values.to_numpy()[some.field("centres").offsets.to_numpy()[:-1]]
+                at = (end - per_row)[own][:, None] + centre[:, None] + np.arange(-AROUND, AROUND + 1)
                 inside = (at >= (end - per_row)[own][:, None]) & (at < end[own][:, None])
                 around = np.where(inside, short[np.clip(at, 0, max(len(short) - 1, 0))], np.uint32(0))
                 columns = [*(part.column(x).take(pa.array(own)) for x in _OWN), *(some.field(x) for x in _WINDOW), _fixed(around)]
@@ -342,7 +366,7 @@ def _with_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _OWN = ("doc_id", "mark", "words", "of", "label")
-_WINDOW = ("key", "members", "centre", "low", "high", "covered")
+_WINDOW = ("key", "members", "centres", "low", "high", "covered")
 
 
 def repeats_around(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -371,28 +395,52 @@ def repeats_around(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.n
     return pairs[hit], first - LEAST + 1, last, low - AROUND, high - AROUND
 
 
+def _open_pairs(bounds: np.ndarray, covered: np.ndarray, labels) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs a < b of each group whose b isn't covered or whose group has several labels, a few at first for each b, then
+    ever more; what covered and labels() say by then decides which b go on."""
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    upto, width = bounds[:-1][group], 8
+    while True:
+        label = labels()
+        several = np.minimum.reduceat(label, bounds[:-1]) < np.maximum.reduceat(label, bounds[:-1])
+        active = np.flatnonzero((upto < np.arange(len(group))) & (~covered | several[group]))
+        if not len(active):
+            return
+        for i in range(0, len(active), max(1, (1 << 15) // width)):
+            b = active[i : i + max(1, (1 << 15) // width)]
+            n = np.minimum(width, b - upto[b])
+            a = np.repeat(upto[b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            upto[b] += n
+            yield a, np.repeat(b, n)
+        width = min(4 * width, 1 << 13)
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["key", "first", "second"]
     for table in whole_groups(batches, keys, 8192):
         near = _matrix(table.column("around"), np.uint32, 2 * AROUND + 1)
-        of, centre, low, high, words = (table.column(c).to_numpy() for c in ("of", "centre", "low", "high", "words"))
-        covered = table.column("covered").to_numpy(zero_copy_only=False).copy() if table.column("covered").num_chunks == 1 else np.asarray(table.column("covered")).copy()
+        of, low, high, words, side = (table.column(c).to_numpy() for c in ("of", "low", "high", "words", "side"))
+        covered = np.asarray(table.column("covered")).copy()
         kinds, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
         n = table.num_rows
         begin, end = [np.full(n, 1 << 30), np.full(n, 1 << 30)], [np.full(n, -1), np.full(n, -1)]
+        told = [np.zeros(n, bool), np.zeros(n, bool)]
         later, earlier = [], []
-        for a, b in _pairs(group_bounds(table, keys), table.column("side").to_numpy(), 1 << 13):
-            stay = (of[a] != of[b]) & (~covered[b] | (label[a] != label[b]))
-            a, b = a[stay], b[stay]  # a is before b in the order
+        for a, b in _open_pairs(group_bounds(table, keys), covered, lambda: label):  # noqa: B023
+            stay = (of[a] != of[b]) & ((side[a] < 0) | (side[a] != side[b])) & (~covered[b] | (label[a] != label[b]))
+            a, b = a[stay], b[stay]
             if not len(a):
                 continue
             hit, *found = repeats_around(near[b], near[a])
             a, b = a[hit], b[hit]
-            for side, (at, first, last) in enumerate(((b, *found[:2]), (a, *found[2:]))):
-                np.minimum.at(begin[side], at, centre[at] + first)
-                np.maximum.at(end[side], at, centre[at] + last)
+            kept = []
+            for k, (at, first, last) in enumerate(((b, *found[:2]), (a, *found[2:]))):
+                np.minimum.at(begin[k], at, first)
+                np.maximum.at(end[k], at, last)
+                new = np.flatnonzero(~told[k][at])
+                kept.append(new[np.unique(at[new], return_index=True)[1]])
+                told[k][at] = True
             covered[b] |= (begin[0][b] <= low[b]) & (end[0][b] >= high[b])
-            kept = [np.unique(side, return_index=True)[1] for side in (a, b)]
             while (apart := np.flatnonzero(label[a] != label[b])).size:  # a link for each label that joins another
                 apart = apart[np.unique(label[b[apart]], return_index=True)[1]]
                 kept.append(apart)
@@ -403,12 +451,17 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not later:
             continue
         later, earlier = np.concatenate(later), np.concatenate(earlier)
-        span = lambda side, at: pa.ListArray.from_arrays(
-            pa.array(np.arange(len(at) + 1, dtype=np.int32)),
-            pa.StructArray.from_arrays([pa.array(begin[side][at].astype(np.int32)), pa.array((end[side][at] + WIDTH).astype(np.int32))], ["from", "to"]),  # noqa: B023
-        )
+        centres_of = table.column("centres").combine_chunks()
+
+        def spans(side: int, at: np.ndarray) -> pa.Array:
+            lists = centres_of.take(pa.array(at))
+            sizes = np.diff(lists.offsets.to_numpy())
+            ends = [lists.flatten().to_numpy() + np.repeat(x[side][at] + more, sizes) for x, more in ((begin, 0), (end, WIDTH))]  # noqa: B023
+            pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in ends], ["from", "to"])
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pairs)
+
         take = lambda c, at: table.column(c).take(pa.array(at)).combine_chunks()  # noqa: E731, B023
-        columns = [take("doc_id", later), take("mark", later), span(0, later), take("doc_id", earlier), take("mark", earlier), pa.array(words[earlier]), span(1, earlier)]
+        columns = [take("doc_id", later), take("mark", later), spans(0, later), take("doc_id", earlier), take("mark", earlier), pa.array(words[earlier]), spans(1, earlier)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "spans", "to_id", "to_mark", "to_words", "to_spans"])
 
 
@@ -418,9 +471,9 @@ def settled_pairs(docs: DataFrame, windows: DataFrame) -> DataFrame:
     listed = windows.groupBy("doc_id", "mark").agg(*(F.first(c).alias(c) for c in _OWN[2:]), F.collect_list(F.struct(*_WINDOW)).alias("windows"))
     listed = stored(listed)
     with_texts = listed.withColumn("node", _node("doc_id", "mark")).join(_texts(docs, listed), "node").select(*_OWN, "windows", "text")
-    schema = f"doc_id {kind}, mark long, words int, of long, label long, key long, members long, centre int, low int, high int, covered boolean, around binary"
-    around = map_batches(with_texts, _with_around, schema).withColumn("node", F.xxhash64("of", "centre"))
-    grouped = in_blocks(around, "key", "members", ("words", "doc_id", "mark", "centre"))
+    schema = f"doc_id {kind}, mark long, words int, of long, label long, key long, members long, centres array<int>, low int, high int, covered boolean, around binary"
+    around = map_batches(with_texts, _with_around, schema).withColumn("node", F.xxhash64("of", F.element_at("centres", 1)))
+    grouped = in_blocks(around, "key", "members", ("words", "doc_id", "mark", "node"), BLOCK)
     return stored(map_batches(grouped, _settle, _pair_schema(docs)))
 
 

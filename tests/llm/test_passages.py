@@ -122,7 +122,7 @@ def families(seed, size=14):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize("block", [4, 1024])
 def test_families_of_edited_passages(spark, seed, block, monkeypatch):
-    monkeypatch.setattr(passages.in_blocks, "__defaults__", ((), block))
+    monkeypatch.setattr(passages, "BLOCK", block)
     links, held, stays, spurious = compare(spark, families(seed))
     assert links > 40 and (held, stays, spurious) == (links, 0, 0)
 
