@@ -15,7 +15,7 @@ functions are joined on the starts: a joint window is where the minima of all fu
 between these minima. A shared run lies in both documents in joint windows of one key, with certainty, so each further
 function takes away candidates and loses none, and no repeat is missed by chance.
 
-Dataflow: (1) the keys are counted, and those seen twice mark bits of a bitmap of fixed size; (2) the texts are read
+Dataflow: (0) of equal texts the first takes part, and the others repeat it; (1) the keys are counted, and those seen twice mark bits of a bitmap of fixed size; (2) the texts are read
 again for the windows whose keys may be repeated; (3) each occurrence is linked to its key's first one (of the shortest
 document, then by id), linear in the windows however many documents share a passage; linked documents' texts are fetched
 and all their passages verified; (4) a key isn't done while an occurrence in it lies in no passage that went, or its
@@ -54,6 +54,8 @@ AROUND = LEAST - 1 + MOVED
 BLOCK = 8192
 #: Bits of the bitmap of repeated keys, and hash positions that mark which texts are needed again.
 BITS, POSITIONS = 1 << 26, 1 << 20
+#: Texts with copies that are looked up in a broadcast table.
+COPIES = 1 << 18
 
 _FACTORS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _PLACE = np.uint64((1 << 31) - 1)
@@ -173,10 +175,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def shared_windows(found: DataFrame) -> DataFrame:
-    """The windows whose key has others, with the key's first one: to."""
+    """The windows whose key has others, with the key's first one, to, and how many windows it has, n."""
     # written first, so that both sides of the join are plain exchanges, of which a hot key's can be split
     earliest = found.groupBy("key").agg(F.min(F.struct("words", "doc_id", "mark", F.element_at("centres", 1).alias("centre"), "left", "right")).alias("to"), F.count(F.lit(1)).alias("n"))
-    earliest = stored(earliest.where("n > 1").select("key", "to"))
+    earliest = stored(earliest.where("n > 1"))
     return stored(found.join(earliest, "key"))
 
 
@@ -322,13 +324,12 @@ def open_windows(shared: DataFrame, verified: DataFrame) -> DataFrame:
     """
     of, to = F.xxhash64("doc_id", "mark"), F.xxhash64("to_id", "to_mark")
     labels = components(verified.select(of.alias("a"), to.alias("b")))
-    goes = verified.groupBy("doc_id", "mark").agg(_joined(F.flatten(F.collect_set("spans"))).alias("goes"))
-    goes = goes.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "goes")
+    goes = verified.groupBy(of.alias("node")).agg(_joined(F.flatten(F.collect_set("spans"))).alias("goes"))
+    known = labels.join(goes, "node", "left").withColumnRenamed("node", "of")
     first = F.col("doc_id").eqNullSafe(F.col("to.doc_id")) & (F.col("mark") == F.col("to.mark")) & (F.element_at("centres", 1) == F.col("to.centre"))
-    rows = shared.where(~first).drop("to").withColumn("of", of)
-    rows = rows.join(goes, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").join(labels.withColumnRenamed("node", "of"), "of", "left")
+    rows = shared.where(~first & (F.col("n") > 2)).drop("to", "n").withColumn("of", of).join(known, "of", "left")
     covered = F.coalesce(F.expr(f"forall(centres, c -> exists(goes, s -> s.from <= c + low and s.to >= c + high + {WIDTH}))"), F.lit(False))
-    rows = stored(rows.withColumns({"label": F.coalesce("label", "of"), "covered": covered}).drop("_id", "_mark", "goes"))
+    rows = stored(rows.withColumns({"label": F.coalesce("label", "of"), "covered": covered}).drop("goes"))
     left = _unsettled(rows)
     sided = left.withColumn("side", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("left").alias("hash")), F.struct(F.lit(1).alias("at"), F.col("right").alias("hash")))))
     sided = stored(sided.where("side.hash >= 0").withColumn("key", F.xxhash64("key", "side.at", "side.hash")).drop("side", "left", "right", "members"))
@@ -482,9 +483,28 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     Links hold all repeats together and their spans are all that goes; pairs that add to neither may be left out.
     """
+    copies, docs = _copies(docs)
     shared = shared_windows(occurrences(docs))
     first = verified_pairs(docs, stored(linked_documents(shared)))
-    return first.unionByName(settled_pairs(docs, open_windows(shared, first)))
+    return first.unionByName(settled_pairs(docs, open_windows(shared, first))).unionByName(copies)
+
+
+def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of documents to the first one of equal text, as repeats gives them, and doc_id and text of all others.
+
+    Only the COPIES texts that most rows have are looked up, in a broadcast table of so many rows; copies of other texts
+    are among the others, whose windows find them.
+    """
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    texts = marked.groupBy("mark").agg(F.min(F.struct("doc_id")).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    texts = stored(texts.orderBy(F.desc("n"), "mark").limit(COPIES).select("mark", "one"))
+    marked = marked.join(F.broadcast(texts), "mark", "left")
+    copy = F.col("one").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("one.doc_id"))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    found = marked.where(copy).select("doc_id", "mark", "one", words.alias("to_words")).where(F.col("to_words") >= SPAN).distinct()
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("to_words").alias("to")))
+    columns = {"spans": whole, "to_id": F.col("one.doc_id"), "to_mark": F.col("mark"), "to_spans": whole}
+    return stored(found.withColumns(columns).select(*_pair_schema(docs).fieldNames())), marked.where(~copy).select("doc_id", "text")
 
 
 def _joined(spans, floor: str = "from"):
