@@ -1,7 +1,7 @@
 """The generated tables as the canonical relation and as predictions, so that every operator runs on them.
 
-records(): documents with their labels, as canonical rows; predictions(): model outputs in eleven shapes around each
-row's label. The SQL texts say the same in another engine's words.
+records(): documents with their labels, as canonical rows; predictions(): model outputs around each row's label, values in
+wrappers. The SQL texts say the same in another engine's words.
 """
 
 from __future__ import annotations
@@ -79,21 +79,16 @@ POPULATION_SQL = (
 
 
 def _outputs(step: int, shift: int) -> F.Column:
-    """The raw output of a row: a shape by its number, around its gold label."""
-    g, r = F.col("gold"), (F.col("ord") * step + shift) % 11
-    obj = lambda v: F.concat(F.lit('{"cwe_id": '), v, F.lit("}"))
-    quoted = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
-    number = F.substring(g, 5, 9)
-    other = label_at(F.col("ord") + 7)
-    shapes = [
-        obj(quoted(g)), F.concat(F.lit("```json\n"), obj(quoted(g)), F.lit("\n```")), F.concat(F.lit("<think>hm</think>\n"), obj(quoted(g))), obj(quoted(F.lower(g))), obj(number),
-        obj(quoted(F.concat(g, F.lit(" or CWE-999")))), obj(F.concat(F.lit("["), quoted(g), F.lit("]"))), F.concat(F.lit('{"label": '), quoted(g), F.lit("}")), g, obj(quoted(F.lit("CWE-77777"))),
-        F.concat(obj(quoted(other)), F.lit(" as asked")),
-    ]
-    out = shapes[0]
-    for k, s in enumerate(shapes[1:], 1):
-        out = F.when(r == k, s).otherwise(out)
-    return out
+    """The raw output of a row: one of 8 values in one of 6 wrappers, by the two digits of a number of the row."""
+    g, x = F.col("gold"), F.col("ord") * step + shift
+    other, digits = label_at(F.col("ord") + 7), F.substring("gold", 5, 9)
+    say = lambda *parts: F.concat(*(p if isinstance(p, F.Column) else F.lit(p) for p in parts))
+    pick = lambda place, of: F.element_at(F.array(*of), (place + 1).cast("int"))
+    values = [say('"', g, '"'), digits, say('"', F.lower(F.replace(g, F.lit("-"), F.lit(" "))), '"'), say('"', other, '"'), F.lit('"CWE-77777"'), say('"', g, " and ", other, '"'), say('["', g, '"]'), F.lit("true")]
+    value = pick(F.floor(x / 6) % 8, values)
+    under = lambda key: say(f'{{"{key}": ', value, "}")
+    wrappers = [under("cwe_id"), say("```json\n", under("cwe_id"), "\n```"), say("<think>so</think> ", under("cwe_id")), say("The label is ", under("cwe_id"), "."), under("class"), value]
+    return pick(x % 6, wrappers)
 
 
 RUNS = {"base": (1, 0), "tuned": (7, 3)}
@@ -110,13 +105,14 @@ def _predictions_sql(model: str) -> str:
     allowed = ", ".join(f"'{x}'" for x in ALLOWED)
     return f"""
 {model}0 AS (
-  SELECT ord, cve_id, cwe_id AS gold, description_en AS description, is_kev, (ord * {step} + {shift}) % 11 AS shape, ([{_LIST}])[(ord + 7) % 20 + 1] AS other FROM rec
+  SELECT ord, cve_id, cwe_id AS gold, description_en AS description, is_kev, (ord * {step} + {shift}) % 6 AS wrapper, (ord * {step} + {shift}) // 6 % 8 AS form, ([{_LIST}])[(ord + 7) % 20 + 1] AS other FROM rec
 ), {model}1 AS (
-  SELECT *, CASE WHEN shape <= 4 THEN gold WHEN shape = 9 THEN 'CWE-77777' WHEN shape = 10 THEN other END AS pred, shape <> 8 AS valid_json, shape NOT IN (7, 8) AS has_key FROM {model}0
+  SELECT *, CASE WHEN wrapper > 3 THEN NULL WHEN form < 3 THEN gold WHEN form = 3 THEN other WHEN form = 4 THEN 'CWE-77777' END AS pred, wrapper <> 5 AS valid_json, wrapper < 4 AS has_key FROM {model}0
 ), {model} AS (
   SELECT *, coalesce(pred IN ({allowed}), false) AS valid_label, coalesce(pred IN ({allowed}) AND pred = gold, false) AS exact_match FROM {model}1
 ), {model}_flags AS (
-  SELECT ord, unnest(list_filter([CASE WHEN shape = 2 THEN 'think_block_present' END, CASE shape WHEN 8 THEN 'not_json' WHEN 7 THEN 'missing_key' WHEN 6 THEN 'multiple_cwe' WHEN 5 THEN 'multiple_cwe' END,
+  SELECT ord, unnest(list_filter([CASE wrapper WHEN 2 THEN 'think_block_present' WHEN 4 THEN 'missing_key' WHEN 5 THEN 'not_json' END,
+    CASE WHEN has_key AND form IN (5, 6) THEN 'multiple_cwe' WHEN has_key AND form = 7 THEN 'bad_cwe_format' END,
     CASE WHEN pred IS NOT NULL AND NOT valid_label THEN 'label_not_allowed' END], lambda x: x IS NOT NULL)) AS flag FROM {model}
 )"""
 
