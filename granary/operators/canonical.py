@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, text_hash
+from ..functions.text import once, strip, text_hash
 
 ID = r"\ACVE-[0-9]{4}-[0-9]{4,}\z"
 LABEL = r"\ACWE-[0-9]+\z"
@@ -78,7 +78,7 @@ _FLAGS = ("placeholder_only", "is_kev", "is_rejected")
 
 def validate(lines: DataFrame, line: str = "value", nfkc: bool = False) -> DataFrame:
     """The lines (JSON text) with cve_id and problems: the codes of what is wrong with the record, in a fixed order."""
-    v = F.try_parse_json(line)
+    lines, v = once(lines, _v=F.try_parse_json(line), _keys=F.json_object_keys(line)), F.col("_v")
     kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), F.lit("VOID"))
     text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
     flag = lambda name: F.when(kind(name) == "BOOLEAN", F.try_variant_get(v, f"$.{name}", "boolean"))
@@ -86,11 +86,11 @@ def validate(lines: DataFrame, line: str = "value", nfkc: bool = False) -> DataF
     no = lambda c: ~F.coalesce(c, F.lit(False))
 
     def labels(name: str) -> tuple[Column, Column]:
+        """The list, and whether it is one of texts only."""
         values = F.try_variant_get(v, f"$.{name}", "array<string>")
-        fine = kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(values, lambda x: F.coalesce(x.rlike(LABEL), F.lit(False)))
-        return values, F.coalesce(fine, F.lit(False))
+        return values, F.coalesce(kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(values, lambda x: x.isNotNull()), F.lit(False))
 
-    keys = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
+    keys = F.coalesce("_keys", F.array().cast("array<string>"))
     checks: list[tuple[Column, str]] = [(~F.array_contains(keys, c), f"missing_field:{c}") for c in COLUMNS]
     published, modified = text("published"), text("last_modified")
     checks += [
@@ -103,7 +103,8 @@ def validate(lines: DataFrame, line: str = "value", nfkc: bool = False) -> DataF
     checks.append(((kind("cvss_v31_base_score") != "VOID") & ~is_number(kind("cvss_v31_base_score")), "invalid_type:cvss_v31_base_score"))
     checks += [(~kind(c).isin("VOID", "STRING"), f"invalid_type:{c}") for c in ("cvss_v31_severity", "kev_date_added")]
     for name in ("cwe_primary", "cwe_secondary", "cwe_all"):
-        checks.append((~labels(name)[1], f"invalid_cwe_list:{name}"))
+        values, texts = labels(name)
+        checks += [(~texts, f"invalid_type:{name}"), (texts & F.exists(values, lambda x: ~x.rlike(LABEL)), f"invalid_cwe:{name}")]
     all_, fine = labels("cwe_all")
     n = F.when(fine, F.size(all_)).otherwise(0)
     checks.append((fine & (F.to_json(all_) != F.to_json(F.array_sort(F.array_distinct(all_)))), "cwe_all_not_sorted_unique"))
@@ -120,8 +121,8 @@ def validate(lines: DataFrame, line: str = "value", nfkc: bool = False) -> DataF
         (F.coalesce(flag("is_kev") != (kind("kev_date_added") != "VOID"), F.lit(False)), "inconsistent_is_kev"),
     ]
     found = F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in checks)), lambda x: x.isNotNull())
-    problems = F.when(v.isNull(), F.array(F.lit("invalid_json"))).when(F.json_object_keys(line).isNull(), F.array(F.lit("record_not_object"))).otherwise(found)
-    return lines.withColumns({"cve_id": text("cve_id"), "problems": problems})
+    problems = F.when(v.isNull(), F.array(F.lit("invalid_json"))).when(F.col("_keys").isNull(), F.array(F.lit("record_not_object"))).otherwise(found)
+    return lines.withColumns({"cve_id": text("cve_id"), "problems": problems}).drop("_v", "_keys")
 
 
 def validation_summary(checked: DataFrame, order: str = "ord", examples: int = 20) -> dict:

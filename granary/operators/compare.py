@@ -170,6 +170,17 @@ def head_and_tail(joined: DataFrame, tail: DataFrame) -> DataFrame:
     return _bucketed(marked, F.coalesce("part", F.lit("head")), ["head", "tail"])
 
 
+def derived_head(joined: DataFrame, tail: DataFrame) -> DataFrame:
+    """head_n and each model's accuracy outside the tail, derived from the accuracies overall and in the tail."""
+    marked = joined.join(F.broadcast(tail.select(F.col("cwe_id").alias("gold"), F.lit(True).alias("in_tail"))), "gold", "left")
+    right = lambda m: F.col(f"{m}_exact_match").cast("int")
+    sums = {m: (F.avg(right(m)).alias(f"{m}_all"), F.coalesce(F.avg(F.when(F.col("in_tail"), right(m))), F.lit(0.0)).alias(f"{m}_tail")) for m in MODELS}
+    totals = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if("in_tail").alias("tail_n"), *(c for pair in sums.values() for c in pair))
+    correct = lambda m: F.bround(F.col(f"{m}_all") * F.col("n") - F.col(f"{m}_tail") * F.col("tail_n"))
+    head = F.col("n") - F.col("tail_n")
+    return totals.select(head.alias("head_n"), *(ratio(correct(m), head).alias(f"{m}_accuracy") for m in MODELS))
+
+
 def class_recall(joined: DataFrame, labels: list[str], model: str = "base") -> DataFrame:
     rows = joined.groupBy(F.col("gold").alias("label")).agg(F.count(F.lit(1)).alias("support"), F.count_if(f"{model}_exact_match").alias("correct"))
     out = table_of(joined, labels).join(rows, "label", "left").na.fill(0, ["support", "correct"])

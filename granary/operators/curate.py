@@ -74,19 +74,25 @@ def without_overlap(rows: DataFrame, *others: DataFrame, key: str = "description
 
 
 def curated(population: DataFrame, dedup: dict[str, bool]) -> DataFrame:
-    """The populations of all splits (column split) without what the dedup settings drop.
+    """The populations of all splits (column split) without what the dedup settings drop, in one pass by content.
 
-    Overlaps are taken against the populations as they are, the train rows' own copies included.
+    Overlaps are taken against the populations as they are, the train rows' own copies included. Of a content, a window
+    says which splits have it and which of its train rows is the first; a null content overlaps nothing.
     """
-    parts = {s: population.where(F.col("split") == s) for s in SPLITS}
-    train, val = parts["train"], parts["val"]
-    if dedup.get("drop_train_exact_duplicates"):
-        train = first_wins(train)
-    if dedup.get("drop_train_overlap_with_eval"):
-        train = without_overlap(train, parts["val"], parts["test"])
-    if dedup.get("drop_val_overlap_with_test"):
-        val = without_overlap(val, parts["train"], parts["test"])
-    return train.unionByName(val).unionByName(parts["test"])
+    w = Window.partitionBy("description_norm_hash")
+    known = F.col("description_norm_hash").isNotNull()
+    has = {s: F.max(F.coalesce(F.col("split") == s, F.lit(False))).over(w) & known for s in SPLITS}
+    place = F.row_number().over(Window.partitionBy("description_norm_hash", "split").orderBy("published", "cve_id"))
+    marked = population.withColumns({f"_{s}": c for s, c in has.items()} | {"_place": place})
+    drops = {
+        "drop_train_exact_duplicates": (F.col("split") == "train") & (F.col("_place") > 1),
+        "drop_train_overlap_with_eval": (F.col("split") == "train") & (F.col("_val") | F.col("_test")),
+        "drop_val_overlap_with_test": (F.col("split") == "val") & (F.col("_train") | F.col("_test")),
+    }
+    goes = F.lit(False)
+    for name, condition in drops.items():
+        goes |= condition & F.lit(bool(dedup.get(name)))
+    return marked.where(F.col("split").isin(*SPLITS) & ~goes).select(*population.columns)
 
 
 def hash_of(rows: DataFrame) -> Column:
@@ -143,18 +149,32 @@ def guarded(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def contamination_counts(rows: DataFrame) -> DataFrame:
+    """One row per pair of splits and kind of key: left, right, kind and n, the left rows whose key the right has.
+
+    Both kinds are counted in one pass; rows have split, cve_id and description_norm_hash.
+    """
+    keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("cve_id", "description_norm_hash")))
+    held = rows.select("split", F.inline(keys)).where("key IS NOT NULL").groupBy("kind", "key").agg(*(F.count_if(F.col("split") == s).alias(s) for s in SPLITS))
+    sums = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.when(F.col(b) > 0, F.col(a)).otherwise(0).alias("n")) for a, b in combinations(SPLITS, 2)))
+    return held.select("kind", F.inline(sums)).groupBy("left", "right", "kind").agg(F.sum("n").alias("n"))
+
+
 def contamination(population: DataFrame, exported: DataFrame) -> dict[str, Any]:
     """Overlaps of the populations by id and content, of the export by content, and the train rows' own copies.
 
     Counts are of left rows, as in overlap(); both tables have split, ord, cve_id and description_norm_hash.
     """
-    part = lambda rows, s: rows.where(F.col("split") == s)
-    pairs = [("train", "val", "cve_id"), ("train", "test", "cve_id"), ("train", "val", "description_norm_hash"), ("train", "test", "description_norm_hash"), ("val", "test", "description_norm_hash")]
-    name = lambda a, b, key: f"{a}_{b}_" + ("cve_id_overlap" if key == "cve_id" else "exact_text_overlap")
-    out: dict[str, Any] = {name(a, b, key): overlap(part(population, a), part(population, b), key).count() for a, b, key in pairs}
-    own = part(population, "train").agg((F.count(F.lit(1)) - F.count_distinct("description_norm_hash")).alias("n")).first()
+    name = lambda r: f"{r['left']}_{r['right']}_" + ("cve_id_overlap" if r["kind"] == "cve_id" else "exact_text_overlap")
+    pairs = [(a, b, kind) for kind in ("cve_id", "description_norm_hash") for a, b in combinations(SPLITS, 2) if (a, b, kind) != ("val", "test", "cve_id")]
+    label = {p: name(dict(zip(("left", "right", "kind"), p, strict=True))) for p in pairs}
+    counted = lambda rows: {name(r): r["n"] for r in contamination_counts(rows).collect()}
+    before, after = counted(population), counted(exported)
+    out: dict[str, Any] = {label[p]: before.get(label[p], 0) for p in pairs}
+    train = population.where("split = 'train'")
+    own = train.agg((F.count(F.lit(1)) - F.count_distinct("description_norm_hash")).alias("n")).first()
     out["train_internal_exact_duplicates"] = own["n"]
-    rows = overlap(part(population, "train"), part(population, "test"), "description_norm_hash").orderBy("ord").limit(20).collect()
+    rows = overlap(train, population.where("split = 'test'"), "description_norm_hash").orderBy("ord").limit(20).collect()
     out["examples"] = {"train_test_exact_text_overlap": [[r["cve_id"], r["other_id"]] for r in rows]}
-    out["post_build"] = {name(a, b, key): overlap(part(exported, a), part(exported, b), key).count() for a, b, key in pairs[2:]}
+    out["post_build"] = {label[p]: after.get(label[p], 0) for p in pairs if p[2] != "cve_id"}
     return out

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import LABEL_NAMES, PROMPT
 from ..sources import files
-from .curate import SPLITS, guarded, hash_of
+from . import stats
+from .curate import SPLITS, contamination, guarded, hash_of, with_labels
 
 COLUMNS = ("cve_id", "cwe_id", "published", "description", "truncated", "prompt", "completion", "is_kev", "split")
 
@@ -52,6 +53,13 @@ def over_budget(rows: DataFrame, tokens: str, max_length: int, max_new: int) ->
     return rows.where(F.col(tokens) > max_length - max_new)
 
 
+def batched(rows: DataFrame, size: int, place: str = "ord") -> DataFrame:
+    """The rows with batch and place in it, by their place from 0 in the whole; no shuffle."""
+    if size < 1:
+        raise ValueError("a batch has a row at least")
+    return rows.withColumns({"batch": F.floor(F.col(place) / size), "place": F.col(place) % size})
+
+
 def mask_problem(labels: Column, end: int, masked: int = -100) -> Column:
     """What is wrong with a completion mask: null for a masked prefix, then tokens without a gap, the last the end token."""
     first = F.array_position(F.transform(labels, lambda x: x != masked), True)
@@ -164,3 +172,27 @@ def report(sections: dict[str, DataFrame | dict], title: str = "Dataset report")
             value[name] = [r.asDict(recursive=True) for r in part.collect()]
             text += f"\n## {name}\n\n" + markdown_table(part)
     return value, text
+
+
+def dataset_report(rows: DataFrame, kept: DataFrame, exported: DataFrame, labels: DataFrame, tokens: Column | None = None) -> tuple[dict[str, Any], str]:
+    """The dataset's report as JSON value and Markdown: funnel, coverage, exclusions, lengths, overlaps, classes, tiers.
+
+    rows are the canonical rows with split and eligible, kept the population after dedup, exported what was sampled from
+    it, labels the selected ones; tokens counts a description's tokens, words by default.
+    """
+    size = F.length("description_en")
+    words = F.regexp_count("description_en", F.lit(r"\S+")) if tokens is None else tokens
+    population = with_labels(rows.where("eligible AND split IS NOT NULL"), labels)
+    sections: dict[str, DataFrame | dict] = {
+        "Records": stats.funnel(rows),
+        "Years": stats.per_year(rows).orderBy("year"),
+        "Coverage": stats.coverage(rows, labels).orderBy("split"),
+        "Excluded": stats.exclusions(rows, labels).orderBy("split"),
+        "Characters": stats.percentiles(kept, size, "split").orderBy("split"),
+        "Tokens": stats.token_summary(exported.withColumn("tokens", words), "tokens", "split").orderBy("split"),
+        "Overlaps": contamination(population, exported),
+        "Population by class": stats.class_distribution(kept).orderBy("split", "cwe_id"),
+        "Exported by class": stats.class_distribution(exported).orderBy("split", "cwe_id"),
+        "Tiers": stats.label_tiers(labels).orderBy("rank"),
+    }
+    return report(sections)

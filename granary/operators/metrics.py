@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import INVALID_FLAGS
@@ -89,3 +89,8 @@ def compute(rows: DataFrame, labels: list[str]) -> dict[str, Any]:
         "confusion_matrix": {"labels": listed, "matrix": [[cells[g, p] for p in listed] for g in listed]},
         "slices": {r["slice"]: {"n": r["n"], "accuracy": r["accuracy"]} for r in slices(rows).collect()},
     }
+
+
+def support_order(classes: DataFrame) -> DataFrame:
+    """label, support and place: the classes by falling support, then by name. The classes are the closed label set."""
+    return classes.select("label", "support", F.row_number().over(Window.orderBy(F.desc("support"), "label")).alias("place"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
@@ -87,3 +87,9 @@ def internal_duplicates(rows: DataFrame, content: str = "description_norm_hash")
     """Rows beyond the first of each content, and of how many contents."""
     groups = rows.groupBy(content).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.count(F.lit(1)).alias("duplicated_contents"))
+
+
+def label_tiers(labels: DataFrame) -> DataFrame:
+    """rank, cwe_id and tier of the selected labels: the last third by rank is the tail; of fewer than three all are."""
+    total = F.count(F.lit(1)).over(Window.partitionBy())  # the labels are few by choice
+    return labels.withColumn("k", total).select("rank", "cwe_id", F.when((F.col("k") < 3) | (F.col("rank") > F.col("k") - F.floor(F.col("k") / 3)), "tail").otherwise("head").alias("tier"))

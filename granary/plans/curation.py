@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions.text import char_grams, excerpt, folded, four_places, jaccard, redacted_excerpt, table_cell, text_hash
+from ..functions.text import char_grams, excerpt, folded, four_places, jaccard, once, redacted_excerpt, table_cell, text_hash, token_len
 from ..operators import canonical as can
 from ..operators import curate, export, sample, similarity, stats
 from ..sources import tables
-from ..sources.pages import date_windows
+from ..sources.pages import date_windows, windows_by_function
 from ..sources.tables import POPULATION_SQL, RECORDS_SQL, read, records
 
 Q, SQL = {}, {}
@@ -251,7 +253,14 @@ def balanced_sample(spark, sf_dir):
     return sample.balanced(kept(spark, sf_dir).where("split = 'train'"), 5, None, 42).select("cwe_id", "cve_id", "draw_rank")
 
 
-@query()
+@query(
+    f"""WITH {CURATED_SQL}, classes AS (SELECT cwe_id, count(*) AS n FROM kept WHERE split = 'train' GROUP BY 1),
+    base AS (SELECT *, greatest(1, floor(share))::BIGINT AS p FROM (SELECT *, (60 * n)::DOUBLE / sum(n) OVER () AS share FROM classes)), m AS (SELECT 60 - sum(p) AS missing FROM base),
+    more AS (SELECT cwe_id, row_number() OVER (ORDER BY share - p DESC, cwe_id DESC) AS r FROM base WHERE p < n),
+    less AS (SELECT cwe_id, row_number() OVER (ORDER BY share - p + k, cwe_id DESC) AS r FROM (SELECT *, unnest(range(p - 1)) AS k FROM base)),
+    places AS (SELECT cwe_id, p + (SELECT count(*) FROM more, m WHERE more.cwe_id = base.cwe_id AND r <= missing) - (SELECT count(*) FROM less, m WHERE less.cwe_id = base.cwe_id AND r <= -missing) AS places FROM base)
+    SELECT cwe_id, cve_id, draw_rank FROM (SELECT cwe_id, cve_id, row_number() OVER (PARTITION BY cwe_id ORDER BY sha256('42:' || cve_id), cve_id) AS draw_rank FROM kept WHERE split = 'train') JOIN places USING (cwe_id) WHERE draw_rank <= places"""
+)
 def stratified_sample(spark, sf_dir):
     return sample.stratified(kept(spark, sf_dir).where("split = 'train'"), 60, 42).select("cwe_id", "cve_id", "draw_rank")
 
@@ -269,11 +278,10 @@ def fetch_windows(spark, sf_dir):
 @query(
     r"""SELECT doc_id, CASE WHEN length(f) <= 80 THEN f ELSE substr(f, 1, 79) || '…' END AS excerpt, replace(CASE WHEN length(f) <= 80 THEN f ELSE rtrim(substr(f, 1, 79)) || '…' END, '|', '\|') AS cell,
     CASE WHEN length(text) <= 200 THEN c ELSE substr(c, 1, 199) || '…' END AS redacted
-    FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f, regexp_replace(text, '(?i)th\w*', '[word omitted]', 'g') AS c FROM documents WHERE lang = 'en')"""
+    FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f, regexp_replace(text, '(?i)th\w*', '[word omitted]', 'g') AS c FROM documents)"""
 )
 def excerpts(spark, sf_dir):
     t = F.col("text")
-    # of any language; the SQL still has the English ones only
     return read(spark, sf_dir, "documents").select("doc_id", excerpt(t, 80).alias("excerpt"), table_cell(t, 80).alias("cell"), redacted_excerpt(t, 200, r"(?i)th\w*").alias("redacted"))
 
 
@@ -304,15 +312,16 @@ _GRAMS = "CASE WHEN length({0}) < 5 THEN [] ELSE list_distinct(list_transform(ra
 
 @query(
     rf"""WITH p AS (SELECT a.doc_id, replace(trim(regexp_replace(lower(a.text), '\s+', ' ', 'g')), 'ß', 'ss') AS x, replace(trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')), 'ß', 'ss') AS y
-      FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.n_chars < 1500 AND b.n_chars < 1500),
+      FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
     g AS (SELECT doc_id, {_GRAMS.format("x")} AS gx, {_GRAMS.format("y")} AS gy FROM p)
     SELECT doc_id, round(CASE WHEN len(gx) + len(gy) = 0 THEN 1.0 ELSE len(list_intersect(gx, gy)) / (len(gx) + len(gy) - len(list_intersect(gx, gy))) END, 9) AS jaccard FROM g"""
 )
 def char5_jaccard(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    pairs = docs.alias("a").join(docs.alias("b"), F.expr("b.doc_id = a.doc_id + 1"))  # of any length; the SQL still has only short ones
+    pairs = docs.alias("a").join(docs.alias("b"), F.expr("b.doc_id = a.doc_id + 1"))
     pairs = pairs.select("a.doc_id", folded(F.col("a.text")).alias("x"), folded(F.col("b.text")).alias("y"))
-    return pairs.select("doc_id", F.round(jaccard(char_grams(F.col("x")), char_grams(F.col("y"))), 9).alias("jaccard"))
+    pairs = once(once(pairs, fx=F.col("x"), fy=F.col("y")), gx=char_grams(F.col("fx")), gy=char_grams(F.col("fy")))
+    return pairs.select("doc_id", F.round(jaccard(F.col("gx"), F.col("gy")), 9).alias("jaccard"))
 
 
 @query(
@@ -323,3 +332,109 @@ def dense_cosine(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
     pairs = rows.alias("a").join(rows.alias("b"), F.expr("b.vec_id = a.vec_id + 1"))
     return pairs.select("a.vec_id", F.round(similarity.dense_cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
+
+
+@query(f"WITH {POPULATION_SQL}, kinds AS (SELECT rank, cwe_id, count(*) OVER () AS k FROM sel) SELECT rank, cwe_id, CASE WHEN k < 3 OR rank > k - k // 3 THEN 'tail' ELSE 'head' END AS tier FROM kinds")
+def label_tiers(spark, sf_dir):
+    return stats.label_tiers(labels_of(records(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {POPULATION_SQL}, keys AS (SELECT split, 'cve_id' AS kind, cve_id AS key FROM pop UNION ALL SELECT split, 'description_norm_hash', description_norm_hash FROM pop),
+    pairs AS (SELECT unnest([{{'l': 'train', 'r': 'val'}}, {{'l': 'train', 'r': 'test'}}, {{'l': 'val', 'r': 'test'}}], recursive := true), unnest(['cve_id', 'description_norm_hash']) AS kind),
+    six AS (SELECT DISTINCT p.l, p.r, k.kind FROM (SELECT DISTINCT l, r FROM pairs WHERE l IS NOT NULL) p, (SELECT DISTINCT kind FROM pairs WHERE kind IS NOT NULL) k)
+    SELECT l AS "left", r AS "right", six.kind, count(a.key) FILTER (EXISTS (SELECT 1 FROM keys b WHERE b.split = r AND b.kind = a.kind AND b.key = a.key)) AS n
+    FROM six LEFT JOIN keys a ON a.split = l AND a.kind = six.kind GROUP BY ALL"""
+)
+def contamination_counts(spark, sf_dir):
+    return curate.contamination_counts(population(records(spark, sf_dir)))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS tokens FROM documents")
+def token_lengths(spark, sf_dir):
+    """By a tokenizer plugged in as a Python function of a batch of texts."""
+    count = token_len(lambda texts: [len(re.findall(r"[^ \t\n\r\f\v]+", t)) for t in texts])
+    return read(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, doc_id // 64 AS batch, doc_id % 64 AS place FROM documents")
+def generation_batches(spark, sf_dir):
+    return export.batched(read(spark, sf_dir, "documents").select("doc_id"), 64, "doc_id")
+
+
+@query(SQL["fetch_windows"])
+def fetch_windows_function(spark, sf_dir):
+    """The windows by the table function."""
+    return windows_by_function(spark, DEFAULTS["start_date"], DEFAULTS["snapshot_date"], DEFAULTS["window_days"])
+
+
+# The raw side: pages' records made from the documents, their canonical form, and lines with faults for the validator.
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw record for each document; what it holds besides the text is set by its id."""
+    i = F.col("doc_id")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), ((i * 37) % 2450).cast("int")), "yyyy-MM-dd")
+    said = lambda *values: F.array(*(F.struct(F.lit("en").alias("lang"), v.alias("value")) for v in values))
+    weak = lambda kind, *values: F.struct(F.lit(kind).alias("type"), said(*values).alias("description"))
+    one, two = tables.label_at(i), tables.label_at(i + 3)
+    shapes = [F.array(), F.array(weak("Primary", one)), F.array(weak("Primary", one), weak("Secondary", two)), F.array(weak("Primary", F.lit("NVD-CWE-noinfo"))), F.array(weak("Secondary", F.concat(F.lit(" "), one, F.lit(" ")), F.lit("junk"))), F.lit(None)]
+    weaknesses = F.element_at(F.array(*(s.cast("array<struct<type:string,description:array<struct<lang:string,value:string>>>>") for s in shapes)), (i % 6 + 1).cast("int"))
+    score = F.struct(F.array(F.struct(F.struct(((i % 100) / 10).alias("baseScore"), F.lit("HIGH").alias("baseSeverity")).alias("cvssData"))).alias("cvssMetricV31"))
+    return read(spark, sf_dir, "documents").select(
+        i,
+        F.when(i % 17 == 0, F.concat(F.lit("CVE-20-"), i)).otherwise(F.format_string("CVE-2020-%07d", i)).alias("id"),
+        F.concat(day, F.lit("T00:00:00.000")).alias("published"),
+        F.concat(day, F.lit("T10:30:00.000")).alias("lastModified"),
+        F.when(i % 13 == 0, "Rejected").otherwise("Analyzed").alias("vulnStatus"),
+        F.when(i % 9 == 0, day).alias("cisaExploitAdd"),
+        F.array(F.struct("lang", F.col("text").alias("value"))).alias("descriptions"),
+        weaknesses.alias("weaknesses"),
+        F.when(i % 2 == 0, score).alias("metrics"),
+    )
+
+
+_CANONICAL_SQL = rf"""
+one AS (SELECT *, doc_id % 6 AS w, strftime(DATE '2020-01-01' + CAST((doc_id * 37) % 2450 AS INTEGER), '%Y-%m-%d') AS day,
+  ([{tables._LIST}])[doc_id % 20 + 1] AS l1, ([{tables._LIST}])[(doc_id + 3) % 20 + 1] AS l2, CASE WHEN lang = 'en' THEN regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') ELSE '' END AS said
+  FROM documents WHERE doc_id % 17 <> 0),
+can AS (SELECT doc_id, printf('CVE-2020-%07d', doc_id) AS cve_id, day AS published, day || 'T10:30:00.000' AS last_modified, CASE WHEN doc_id % 13 = 0 THEN 'Rejected' ELSE 'Analyzed' END AS vuln_status,
+  said AS description_en, sha256(trim(regexp_replace(lower(said), '\s+', ' ', 'g'))) AS description_norm_hash,
+  CASE WHEN w IN (1, 2) THEN l1 ELSE '' END AS cwe_primary, CASE w WHEN 2 THEN l2 WHEN 4 THEN l1 ELSE '' END AS cwe_secondary,
+  CASE WHEN w IN (1, 4) THEN l1 WHEN w = 2 THEN least(l1, l2) || ',' || greatest(l1, l2) ELSE '' END AS cwe_all, w = 3 AS placeholder_only, CASE WHEN w IN (1, 4) THEN l1 END AS cwe_id,
+  CASE w WHEN 2 THEN 'multi' WHEN 1 THEN 'single' WHEN 4 THEN 'single' WHEN 3 THEN 'placeholder_only' ELSE 'none' END AS label_status,
+  CASE WHEN doc_id % 2 = 0 THEN (doc_id % 100) / 10 END AS cvss_v31_base_score, CASE WHEN doc_id % 2 = 0 THEN 'HIGH' END AS cvss_v31_severity,
+  doc_id % 9 = 0 AS is_kev, CASE WHEN doc_id % 9 = 0 THEN day END AS kev_date_added, doc_id % 13 = 0 OR starts_with(said, '** REJECT **') AS is_rejected FROM one)"""
+
+
+@query(f"WITH {_CANONICAL_SQL} SELECT * FROM can")
+def canonical_from_pages(spark, sf_dir):
+    """The lists are joined by commas, for the comparison."""
+    out = can.canonical(raw_records(spark, sf_dir), DEFAULTS["placeholders"], False, ("doc_id",))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("cwe_primary", "cwe_secondary", "cwe_all")})
+
+
+def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and value: canonical records as JSON lines, each with the fault that its id sets, or none."""
+    rows = can.canonical(raw_records(spark, sf_dir), DEFAULTS["placeholders"], False, ("doc_id",))
+    rows = once(rows.select("doc_id", F.to_json(F.struct(*can.COLUMNS), {"ignoreNullFields": "false"}).alias("_json")), line=F.col("_json"))
+    line = F.col("line")
+    put = lambda pattern, new: F.regexp_replace(line, pattern, new)
+    faults = [
+        line, put('"vuln_status":"[A-Za-z]+"', '"vuln_status":5'), put('"is_kev":(true|false)', '"is_kev":"x"'), put(r'"cwe_all":\[[^\]]*\]', '"cwe_all":"no"'), put(r'"cwe_primary":\[[^\]]*\]', '"cwe_primary":["bad"]'),
+        put('"published":"', '"published":"x'), F.concat(F.lit("{"), line), F.lit("[1]"), put('"is_rejected":(true|false)', '"rejected":true'), put('"label_status":"[a-z_]+"', '"label_status":"other"'),
+        put('"description_norm_hash":"', '"description_norm_hash":"0'), put(r'"cwe_all":\[[^\]]*\]', '"cwe_all":["CWE-2","CWE-1"]'), put(r'"cwe_all":\[[^\]]*\]', '"cwe_all":["bad",null]'),
+    ]
+    return rows.select("doc_id", F.element_at(F.array(*faults), (F.col("doc_id") % len(faults) + 1).cast("int")).alias("value"))
+
+
+@query(
+    f"""WITH {_CANONICAL_SQL} SELECT doc_id, unnest(list_filter(CASE doc_id % 13
+      WHEN 1 THEN ['invalid_type:vuln_status'] WHEN 2 THEN ['invalid_type:is_kev'] WHEN 3 THEN ['invalid_type:cwe_all', CASE WHEN cwe_id IS NOT NULL THEN 'inconsistent_cwe_id' END]
+      WHEN 4 THEN ['invalid_cwe:cwe_primary'] WHEN 5 THEN ['invalid_published'] WHEN 6 THEN ['invalid_json'] WHEN 7 THEN ['record_not_object'] WHEN 8 THEN ['missing_field:is_rejected', 'invalid_type:is_rejected']
+      WHEN 9 THEN ['invalid_label_status'] WHEN 10 THEN ['description_norm_hash_mismatch']
+      WHEN 11 THEN ['cwe_all_not_sorted_unique', CASE WHEN cwe_id IS NOT NULL THEN 'inconsistent_cwe_id' END, CASE WHEN label_status <> 'multi' THEN 'inconsistent_label_status' END, CASE WHEN placeholder_only THEN 'inconsistent_placeholder_only' END]
+      WHEN 12 THEN ['invalid_type:cwe_all', CASE WHEN cwe_id IS NOT NULL THEN 'inconsistent_cwe_id' END] ELSE [] END, lambda x: x IS NOT NULL)) AS problem FROM can"""
+)
+def validate_records(spark, sf_dir):
+    return can.validate(faulty_lines(spark, sf_dir)).select("doc_id", F.explode("problems").alias("problem"))

@@ -9,7 +9,7 @@ from ..functions.fixed import FAMILIES, INVALID_FLAGS, OUTCOMES, OVERGENERAL, SP
 from ..operators import compare, metrics, similarity
 from ..operators.verify import verified
 from ..sources.tables import ALLOWED, PREDICTIONS_SQL, predictions, records
-from .curation import labels_of
+from .curation import _GRAMS, labels_of
 
 Q, SQL = {}, {}
 
@@ -263,8 +263,7 @@ def distinct_gold_examples(spark, sf_dir):
     return compare.distinct_gold(joined(spark, sf_dir), "broken_by_sft", 4)
 
 
-# Similarity: the test split's English rows ask, the whole train split answers, on whole texts. The SQL below is older:
-# it still cuts texts to 1500 characters and splits by ord % 10, so it doesn't give these rows.
+# Similarity: the test split's English rows ask, the whole train split answers, on whole texts.
 
 
 def _texts(spark, sf_dir):
@@ -279,15 +278,15 @@ def _nearest(spark, sf_dir):
 
 _NEAREST = (
     PREDICTIONS_SQL
-    + r""", t AS (SELECT ord, cve_id, cwe_id, substr(description_en, 1, 1500) AS text FROM rec WHERE length(description_en) > 0),
- w AS (SELECT ord, cve_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]{2,}') AS a FROM t),
- bag AS (SELECT ord, cve_id, term, count(*) AS tf FROM (SELECT ord, cve_id, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS term FROM w) GROUP BY ALL),
+    + r""", t AS (SELECT ord, cve_id, cwe_id, split, description_en AS text FROM rec WHERE length(description_en) > 0 AND split IN ('train', 'test')),
+ w AS (SELECT ord, cve_id, split, regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]{2,}') AS a FROM t),
+ bag AS (SELECT ord, cve_id, split, term, count(*) AS tf FROM (SELECT ord, cve_id, split, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS term FROM w) GROUP BY ALL),
  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM bag GROUP BY term HAVING count(*) >= 2),
- raw AS (SELECT ord, cve_id, term, (1 + ln(tf)) * idf AS raw FROM bag JOIN idf USING (term)),
- unit AS (SELECT raw.ord, raw.cve_id, term, raw / norm AS weight FROM raw JOIN (SELECT ord, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY ord) n ON n.ord = raw.ord),
- pair AS (SELECT q.cve_id AS query_id, d.ord, d.cve_id AS train_id, round(sum(q.weight * d.weight), 9) AS similarity FROM unit q JOIN unit d USING (term) WHERE q.ord % 10 = 0 AND d.ord % 10 <> 0 GROUP BY ALL),
- near_ AS (SELECT t.cve_id AS query_id, coalesce(b.train_id, (SELECT arg_min(cve_id, ord) FROM t WHERE ord % 10 <> 0)) AS train_id, coalesce(b.similarity, 0) AS similarity
-   FROM t LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ord) AS k FROM pair) WHERE k = 1) b ON b.query_id = t.cve_id WHERE t.ord % 10 = 0)"""
+ raw AS (SELECT ord, cve_id, split, term, (1 + ln(tf)) * idf AS raw FROM bag JOIN idf USING (term)),
+ unit AS (SELECT raw.ord, raw.cve_id, split, term, raw / norm AS weight FROM raw JOIN (SELECT ord, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY ord) n ON n.ord = raw.ord),
+ pair AS (SELECT q.cve_id AS query_id, d.ord, d.cve_id AS train_id, round(sum(q.weight * d.weight), 9) AS similarity FROM unit q JOIN unit d USING (term) WHERE q.split = 'test' AND d.split = 'train' GROUP BY ALL),
+ near_ AS (SELECT t.cve_id AS query_id, coalesce(b.train_id, (SELECT arg_min(cve_id, ord) FROM t WHERE split = 'train')) AS train_id, coalesce(b.similarity, 0) AS similarity
+   FROM t LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ord) AS k FROM pair) WHERE k = 1) b ON b.query_id = t.cve_id WHERE t.split = 'test')"""
 )
 
 
@@ -311,8 +310,37 @@ def audit_summary(spark, sf_dir):
     return out.select("transition", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p90", "p95", "max")), "high", "very_high", "high_same_label", "high_other_label")
 
 
-@query()
+_FOLD = r"replace(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), 'ß', 'ss')"
+_EXCERPT = r"CASE WHEN length(trim(regexp_replace({0}, '\s+', ' ', 'g'))) <= 200 THEN trim(regexp_replace({0}, '\s+', ' ', 'g')) ELSE substr(trim(regexp_replace({0}, '\s+', ' ', 'g')), 1, 199) || '…' END"
+
+
+@query(
+    f"""WITH {_NEAREST}, top AS (SELECT n.query_id, n.similarity, q.text AS qt, d.text AS dt FROM near_ n JOIN t q ON q.cve_id = n.query_id JOIN t d ON d.cve_id = n.train_id ORDER BY n.similarity DESC, n.query_id LIMIT 20),
+    f AS (SELECT *, {_FOLD.format("qt")} AS x, {_FOLD.format("dt")} AS y FROM top), g AS (SELECT *, {_GRAMS.format("x")} AS gx, {_GRAMS.format("y")} AS gy FROM f)
+    SELECT query_id, similarity, len(list_intersect(gx, gy)) / (len(gx) + len(gy) - len(list_intersect(gx, gy))) AS char5_jaccard, {_EXCERPT.format("qt")} AS query_excerpt, {_EXCERPT.format("dt")} AS train_excerpt FROM g"""
+)
 def closest_pairs(spark, sf_dir):
     texts = _texts(spark, sf_dir)
     side = lambda c: texts.select(F.col("cve_id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text"))
     return similarity.closest_pairs(_nearest(spark, sf_dir).join(side("query"), "query_id").join(side("train"), "train_id"))
+
+
+@query(_P + f", {_classes('base')} SELECT label, support, row_number() OVER (ORDER BY support DESC, label) AS place FROM base_classes")
+def support_order(spark, sf_dir):
+    return metrics.support_order(metrics.per_class(run(spark, sf_dir, "base"), ALLOWED))
+
+
+@query(
+    _BOTH
+    + """, c AS (SELECT count(*) AS n, count(*) FILTER (gold IN (FROM tail_)) AS tail_n, avg(b.exact_match::INT) AS base, avg(t.exact_match::INT) AS tuned,
+      coalesce(avg(b.exact_match::INT) FILTER (gold IN (FROM tail_)), 0) AS tail_base, coalesce(avg(t.exact_match::INT) FILTER (gold IN (FROM tail_)), 0) AS tail_tuned FROM base b JOIN (SELECT ord, exact_match FROM tuned) t USING (ord))
+    SELECT n - tail_n AS head_n, round(round(base * n - tail_base * tail_n) / (n - tail_n), 9) AS base_accuracy, round(round(tuned * n - tail_tuned * tail_n) / (n - tail_n), 9) AS tuned_accuracy FROM c"""
+)
+def derived_head_accuracy(spark, sf_dir):
+    out = compare.derived_head(joined(spark, sf_dir), tail(spark, sf_dir))
+    return out.select("head_n", *(F.round(c, 9).alias(c) for c in ("base_accuracy", "tuned_accuracy")))
+
+
+@query(_P + " SELECT b.ord, b.cve_id, b.gold, b.pred AS base_pred, t.pred AS tuned_pred FROM base b JOIN tuned t USING (ord)")
+def strict_join(spark, sf_dir):
+    return compare.join_runs(run(spark, sf_dir, "base"), run(spark, sf_dir, "tuned")).select("ord", "cve_id", "gold", "base_pred", "tuned_pred")

@@ -34,6 +34,22 @@ def date_windows(spark: SparkSession, start: str, end: str, days: int) -> DataFr
     return spark.range(1).select(firsts.alias("first")).select("first", F.least(F.date_add("first", days - 1), F.lit(end).cast("date")).alias("last"))
 
 
+class WindowFunction:
+    """The same windows as a table function of SQL: date_windows(start, end, days)."""
+
+    def eval(self, start: str, end: str, days: int) -> Iterator[tuple[dt.date, dt.date]]:
+        first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+        while first <= last:
+            yield first, min(first + dt.timedelta(days - 1), last)
+            first += dt.timedelta(days)
+
+
+def windows_by_function(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:
+    """date_windows through the registered table function."""
+    spark.udtf.register("date_windows", F.udtf(WindowFunction, returnType="first date, last date"))
+    return spark.sql("SELECT * FROM date_windows(:start, :end, :days)", {"start": start, "end": end, "days": days})
+
+
 def fetch_page(get: Callable[[dict], tuple[int, Any]], params: dict, retries: int = 5, wait: float = 6.0, sleep: Callable[[float], None] = time.sleep) -> Any:
     """One page. 403, 429 and 5xx are tried again after wait * 2 ** attempt seconds; another status is an error."""
     for attempt in range(retries + 1):

@@ -126,12 +126,29 @@ def test_dedup_overlap_and_guard(spark):
 
 def test_samples(spark):
     rows = spark.createDataFrame([(i, f"id{i}") for i in range(10)], "ord long, cve_id string")
-    assert [r.ord for r in sample.subset(rows, 4, 42).orderBy("draw_rank").collect()] == [7, 3, 2, 8]
+    places = list(range(10))
+    random.Random(11).shuffle(places)
+    assert [r.ord for r in sample.subset(rows, 7, 11).orderBy("draw_rank").collect()] == places[:7]
     generator = random.Random(5)
     picked = generator.sample(range(10), 6)
     generator.shuffle(picked)
     assert [r.ord for r in sample.exact_sample(rows, 6, 5).orderBy("draw_rank").collect()] == picked
-    assert sample.allocate({"a": 7, "b": 2, "c": 1}, 6) == {"a": 4, "b": 1, "c": 1}
+    assert sample.allocate({"x": 50, "y": 3, "z": 3}, 8) == {"x": 6, "y": 1, "z": 1}
+    draws = random.Random(8)
+    for _ in range(300):
+        counts = {f"k{i}": draws.randint(0, 40) for i in range(draws.randint(1, 9))}
+        most, kinds = sum(counts.values()), sum(n > 0 for n in counts.values())
+        if not most:
+            continue
+        asked = draws.randint(kinds, most)
+        got = sample.allocate(counts, asked)
+        assert sum(got.values()) == asked and all(1 <= n <= counts[k] for k, n in got.items())
+        # no place is better used by another class: moving one brings no class nearer to its share by more
+        share = {k: asked * counts[k] / most for k in got}
+        for a in got:
+            for b in got:
+                if got[a] > 1 and got[b] < counts[b]:
+                    assert share[b] - got[b] <= share[a] - (got[a] - 1) + 1e-9
     with pytest.raises(ValueError):
         sample.allocate({"a": 1, "b": 1}, 1)
     one, many = (sample.natural(rows.repartition(n), 5, 1).select("cve_id", "draw_rank").orderBy("draw_rank").collect() for n in (1, 7))

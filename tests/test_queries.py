@@ -11,7 +11,6 @@ from granary.plans import curation, evaluation
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"tfidf_nearest", "audit_summary", "benchmark_containment", "char5_jaccard"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +31,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted((curation.SQL.keys() | evaluation.SQL.keys()) - SLOW)[::3])
+@pytest.mark.parametrize("name", sorted(curation.SQL.keys() | evaluation.SQL.keys()))
 def test_matches_sql(spark, duck, name):
     rows = __spark_entry__.queries()[name](spark, SF)
     names = sorted(rows.columns)
@@ -43,5 +42,10 @@ def test_matches_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[have.index(c)]) for c in names) for r in found.fetchall()), key=repr)
 
 
+def test_flagship_scans_each_table_twice_at_most(spark):
+    plan = __spark_entry__.queries()["flagship_class_distribution"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") <= 4 and plan.count("text#") and plan.count("Window") >= 1  # documents and labels, each twice
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
