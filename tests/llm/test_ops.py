@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import ann, bpe, chat, ctw, mixing, near, quality, url_filter
 from granary.llm.arrays import chunks
+from granary.llm.lineage import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, stats string, key string, mark string"
@@ -82,26 +83,56 @@ def test_bpe_equals_the_library(spark, docs):
 # 3
 
 
+def clusters(random, n, width=16, kinds=40):
+    """Points in clusters within clusters."""
+    outer = random.normal(size=(kinds, width)) * 4
+    inner = outer[random.integers(0, kinds, 10 * kinds)] + random.normal(size=(10 * kinds, width))
+    return inner[random.integers(0, 10 * kinds, n)] + random.normal(size=(n, width)) * 0.3
+
+
+def recall_of(got, points, ids, k=10):
+    hits = total = 0
+    for query, group in got.groupby("query_id"):
+        distance = np.sqrt(((points - points[list(ids).index(query)]) ** 2).sum(1))
+        distance[list(ids).index(query)] = np.inf
+        best = ids[np.lexsort((ids, distance))[:k]]
+        hits, total = hits + len(set(best) & set(group.vec_id)), total + k
+        assert list(group.sort_values("rank")["rank"]) == list(range(1, k + 1))
+        place = {v: i for i, v in enumerate(ids)}
+        assert np.allclose(group.score, [distance[place[v]] for v in group.vec_id], rtol=1e-12, atol=0)
+    return hits / total
+
+
 def test_ann(spark):
     random = np.random.default_rng(3)
-    points = random.normal(size=(6000, 16))
+    points = clusters(random, 6000)
     rows = [(i, [float(x) for x in p], 0) for i, p in enumerate(points)]
-    rows += [(9000, None, 0), (9100, [0.0] * 16, 0), (9200, [None] + [1.0] * 15, 0), (9300, [float("nan")] * 16, 0), (9400, [1.0], 0), (9500, [], 0), (None, [1.0] * 16, 0), (9601, rows[100][1], 0)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int")
-    got = ann.search(table, F.col("vec_id") % 100 == 0, parts=8).toPandas()
-    everything, ids = np.vstack([points, points[100]]), np.append(np.arange(6000), 9601)
-    hits = 0
-    for query, group in got.groupby("query_id"):
-        distance = np.sqrt(((everything - points[query]) ** 2).sum(1))
-        distance[ids == query] = np.inf
-        best = ids[np.lexsort((ids, distance))[:10]]
-        hits += len(set(best) & set(group.vec_id))
-        assert list(group.sort_values("rank")["rank"]) == list(range(1, 11))
-        assert np.allclose(group.score, [distance[list(ids).index(v)] for v in group.vec_id], rtol=1e-12, atol=0)
-    assert got.query_id.nunique() == 60 and hits >= 0.9 * 600
+    rows += [(9000, None, 0), (9100, [0.0] * 16, 0), (9200, [None] + [1.0] * 15, 0), (9300, [float("nan")] * 16, 0), (9400, [1.0], 0), (9500, [], 0), (None, [1.0] * 16, 0), (9601, rows[101][1], 0), (200, rows[200][1], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int").repartition(3)
+    got = ann.search(table, F.col("vec_id") % 100 == 0).toPandas()
+    assert got.query_id.nunique() == 60 and recall_of(got, np.vstack([points, points[101]]), np.append(np.arange(6000), 9601)) >= 0.9
     few = ann.search(table.where("vec_id IN (0, 1, 2)"), F.col("vec_id") % 100 == 0).collect()
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
     assert ann.search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(two, F.col("vec_id") == 0).collect()) == [(0, 1, 1), (0, 1, 1), (0, 2, 0), (0, 2, 0)]
+
+
+def test_ann_levels_and_hot_copies(spark, monkeypatch):
+    """Small partitions: two levels are split, a third of the rows are one vector, and queries probe few partitions."""
+    monkeypatch.setattr(ann, "PER_PARTITION", 100)
+    random = np.random.default_rng(5)
+    points = clusters(random, 8000)
+    points[random.permutation(8000)[:2600]] = points[1]
+    rows = stored(spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, embedding array<double>").repartition(4))
+    placed = ann.partitioned(rows.select((F.col("vec_id") % 50 == 7).alias("asks"), "vec_id", F.xxhash64("embedding").alias("mark"), "embedding").unionByName(rows.select(F.lit(False).alias("asks"), "vec_id", F.xxhash64("embedding").alias("mark"), "embedding").where("vec_id % 50 = 7")), 8, 10, 4096, 0.97).toPandas()
+    vectors, queries = placed[~placed.asks], placed[placed.asks]
+    assert len(vectors) == 8000 and vectors.cell.nunique() > 24 and (vectors.cell > 64).any()
+    sizes = vectors.groupby("cell").size()
+    met = queries.cell.map(sizes).fillna(0).groupby(queries.vec_id).sum()
+    assert met.median() < 0.5 * 8000
+    got = ann.search(rows, F.col("vec_id") % 50 == 7, parts=8).toPandas()
+    assert got.query_id.nunique() == 160 and recall_of(got[~got.query_id.isin(np.flatnonzero((points == points[1]).all(1)))], points, np.arange(8000)) >= 0.9
 
 
 # 4
