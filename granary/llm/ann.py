@@ -36,9 +36,9 @@ from .arrays import map_batches
 from .components import group_bounds, whole_groups
 from .lineage import stored
 
-SAMPLE, NEIGHBOURS, SLACK, TARGET, DEEPER, BLOCK, QUERIES = 4096, 10, 0.05, 0.97, 0.99, 4096, 1024
+SAMPLE, NEIGHBOURS, SLACK, TARGET, DEEPER, BLOCK, QUERIES = 4096, 10, 0.05, 0.95, 0.99, 4096, 1024
 #: Vectors for each partition, the fewest and most partitions of a cell, sampled vectors for each, rows that share a salt.
-PER_PARTITION, FEWEST, MOST, LEAST_ROWS, SALTED = 3000, 8, 64, 20, 1 << 16
+PER_PARTITION, FEWEST, MOST, LEAST_ROWS, SALTED = 3000, 64, 64, 20, 1 << 16
 
 
 def nearest(points: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
