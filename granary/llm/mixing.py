@@ -4,14 +4,14 @@ The mix has as many words as the input. A source's target is its weight's share,
 is over is reshared by weight (the water level of the weights, found by one window over the sources). Blocks of about
 BLOCK words are then allocated to sources, and each source's to its shards, by the highest quotients weight / (2 s + 1).
 
-A shard is a hash bucket of one source's documents of about SHARD words, so a hot source has more shards and no task
-holds more than a shard. A shard's documents stand in seeded order and are cut into m equal blocks; a quota of q takes
+A shard is a hash bucket of one source's documents of about SHARD words, or of a SHARDS-th of a source where that is
+more, so a hot source has more shards, no task holds more than a shard, and a source's shards fit one task. A shard's documents stand in seeded order and are cut into m equal blocks; a quota of q takes
 each block q div m times and the q mod m blocks from a seeded one on, once more. That is interval arithmetic on the
 running word count: no row per block.
 
-A null text has no words and is taken 0 words of. A null source is a source, the last. Ties in the seeded order go by
-id and size; repeated rows are documents of their own. Rows with a null id share one place in the seeded order, by
-size. An empty table gives no rows. Columns that aren't named by keep are not read.
+A null text has no words and is taken 0 words of. A null source is a source, the last. The seeded order goes
+by id and text, so rows of one id, or of none, are spread like others; repeated rows are documents of their own, and
+stand side by side. An empty table gives no rows. Columns that aren't named by keep are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from .lineage import stored
 
-#: Words of a block and of a shard, about; how often a word is taken at most; weights of the sources in order.
-BLOCK, SHARD, REPEATS, WEIGHTS = 16, 4_000_000, 3, (5, 2, 1)
+#: Words of a block and, at the least, of a shard; shards of a source at most; how often a word is taken at most; weights
+#: of the sources in order.
+BLOCK, SHARD, SHARDS, REPEATS, WEIGHTS = 16, 1 << 18, 1 << 16, 3, (5, 2, 1)
 #: Up to so many sources their table is broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -99,24 +100,24 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, weights: tuple[
 
     The names of the new columns get the prefix.
     """
-    slim = lambda: docs.select(_key(F.col("source")).alias("source_key"), F.col("doc_id").alias("id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    slim = lambda: docs.select(_key(F.col("source")).alias("source_key"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = stored(slim())
     seats = targets(sized, weights, repeats).groupBy().applyInPandas(_seats(block), "source_key string, source_size long, target double, place int, seats long")
-    sources = stored(seats.withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / F.lit(shard))))
+    sources = stored(seats.withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / F.greatest(F.lit(shard), F.col("source_size") / SHARDS))))
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    in_shard = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("shards")).alias("shard")
+    in_shard = F.pmod(F.xxhash64(F.lit(seed), "id", "mark"), F.col("shards")).alias("shard")
     words = sized.join(sources, "source_key").groupBy("source_key", "seats", in_shard).agg(F.sum("size").alias("words"))
     blocks = words.withColumn("blocks", F.ceil(F.col("words") / F.lit(block))).withColumn("most", repeats * F.col("blocks"))
     quotas = blocks.groupBy("source_key").applyInPandas(_quotas, T.StructType([*blocks.schema, T.StructField("quota", T.LongType())])).drop("seats", "most")
 
     columns = F.struct(*keep).alias("kept")
     if tuple(keep) == ("doc_id",):
-        rows = sized.select(F.struct(F.col("id").alias("doc_id")).alias("kept"), "source_key", "id", "size")
+        rows = sized.select(F.struct(F.col("id").alias("doc_id")).alias("kept"), "source_key", "id", "mark", "size")
     else:
-        rows = docs.select(columns, _key(F.col("source")).alias("source_key"), F.col("doc_id").alias("id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    placed = rows.join(sources, "source_key").select("kept", "source_key", "id", "size", "source_size", "target", in_shard)
-    order = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size")
+        rows = docs.select(columns, _key(F.col("source")).alias("source_key"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    placed = rows.join(sources, "source_key").select("kept", "source_key", "id", "mark", "size", "source_size", "target", in_shard)
+    order = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "mark"), "id", "mark")
     placed = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["source_key", "shard"], "left")
     m, q = F.greatest("blocks", F.lit(1)), F.coalesce("quota", F.lit(0))
@@ -149,5 +150,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, (part["from"] + 1).cast("int"), part["words"].cast("int")), "")
     text = F.when(part["words"] == size, F.col("text")).otherwise(cut)
-    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.withColumns(new).select(*docs.columns)
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

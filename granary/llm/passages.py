@@ -546,7 +546,7 @@ def classed(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the removed ranges of words cut out of the texts, and n_chars, where there is one, counted anew.
+    """docs with the removed ranges of words cut out of the texts, and their n_chars, where there is one, counted anew.
 
     A row whose text loses all its words goes. Only rows that may lose something are shuffled.
     """
@@ -563,6 +563,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ends = F.concat(F.transform("_removed", lambda s: s["from"]), F.array(size))
     kept = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda s: F.array_join(F.slice(pieces, s["a"] + 1, F.greatest(s["b"] - s["a"], F.lit(0))), ""))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    cut = joined.withColumns(new).where(F.col("_removed").isNull() | (F.length("text") > 0)).select(*docs.columns)
+    cut = joined.withColumn("text", text).where(F.col("_removed").isNull() | (F.length("text") > 0))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    cut = cut.select(*docs.columns)
     return rest.select(*docs.columns).unionByName(cut)

@@ -110,22 +110,17 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 8: URL filters
 
-#: Host rules as the contract gives them, then patterns of hosts and paths that hold no prose.
+#: Host rules as the contract gives them.
+HOST_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+#: Words that filter lists hold, each in SHAPES; and hosts of a generated list, most of which no page names.
+TERMS = "ad ads adserver adult affiliate banner bets betting bonus cash casino cheap click clickbait counter coupon dating deals doorway farm free loan lottery pills pixel poker popup promo replica slots spam sponsor sweepstakes track tracker tracking viagra warez win xxx".split()
+SHAPES = ["||{}.", "||{}-", "-{}.", "/{}/", "||www.{}*."]
+LISTED = 4000
 URL_RULES = [
-    url_filter.Rule("org/", "allow"),
-    url_filter.Rule("example.org/es/", "block"),
-    url_filter.Rule("example.org/en/1", "block"),
-    url_filter.Rule("com/fr/", "allow"),
-    url_filter.Rule("com/de/", "block"),
-    url_filter.Rule("spam-farm.", "block", pattern=True),
-    url_filter.Rule("cheap-pills.", "block", pattern=True),
-    url_filter.Rule("ads-track.", "block", pattern=True),
-    url_filter.Rule("casino-*.", "block", pattern=True),
-    url_filter.Rule("free-bets.", "block", pattern=True),
-    url_filter.Rule("||adult-", "block", pattern=True),
-    url_filter.Rule("/ads/", "block", pattern=True),
-    url_filter.Rule("/banner/*/click^", "block", pattern=True),
+    *(url_filter.Rule(text, action) for text, action in HOST_RULES),
+    *(url_filter.Rule(shape.format(term), "block", pattern=True) for term in TERMS for shape in SHAPES),
     url_filter.Rule("/ads/policy|", "allow", pattern=True),
+    *(url_filter.Rule(f"||listed{i}.test^", "block", pattern=True) for i in range(LISTED)),
 ]
 
 
@@ -133,6 +128,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+
+def _patterns_sql() -> str:
+    """The first pattern that fits, by length, then order; allowing ones first."""
+    forms = {"||{}.": r"\A[^/]*://([^/?#]*\.)?{}\.", "||{}-": r"\A[^/]*://([^/?#]*\.)?{}-", "-{}.": r"-{}\.", "/{}/": "/{}/", "||www.{}*.": r"\A[^/]*://([^/?#]*\.)?www\.{}.*\."}
+    rules = [(shape.format(term), forms[shape].format(term)) for term in TERMS for shape in SHAPES]
+    found = [f"WHEN regexp_matches(low, '(?s){regex}') THEN '{rule}'" for rule, regex in sorted(rules, key=lambda r: -len(r[0]))]
+    listed = r"regexp_extract(low, '(?s)\A[^/]*://(?:[^/?#]*\.)?(listed(0|[1-9][0-9]*)\.test)(?:[^0-9a-z_.%-]|\z)', {})"
+    first = f"WHEN try_cast({listed.format(2)} AS INTEGER) < {LISTED} THEN '||' || {listed.format(1)} || '^'"
+    return "CASE WHEN low LIKE '%/ads/policy' THEN '/ads/policy|' " + " ".join([first, *found]) + " END"
+
+
 OP8_SQL = r"""
 WITH parts AS (
   SELECT page_id, coalesce(url, '') AS url,
@@ -147,15 +153,7 @@ WITH parts AS (
       WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
       WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
       WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule,
-    CASE WHEN low LIKE '%/ads/policy' THEN '/ads/policy|'
-      WHEN regexp_matches(low, '(?s)/banner/.*/click([^0-9a-z_.%-]|\z)') THEN '/banner/*/click^'
-      WHEN low LIKE '%cheap-pills.%' THEN 'cheap-pills.'
-      WHEN low LIKE '%spam-farm.%' THEN 'spam-farm.'
-      WHEN low LIKE '%ads-track.%' THEN 'ads-track.'
-      WHEN low LIKE '%free-bets.%' THEN 'free-bets.'
-      WHEN low LIKE '%casino-%.%' THEN 'casino-*.'
-      WHEN regexp_matches(low, '(?s)\A[^/]*://([^/?#]*\.)?adult-') THEN '||adult-'
-      WHEN low LIKE '%/ads/%' THEN '/ads/' END AS pattern
+    PATTERNS AS pattern
   FROM parts
 )
 SELECT page_id, host, path, rule,
@@ -163,7 +161,7 @@ SELECT page_id, host, path, rule,
     WHEN pattern = '/ads/policy|' OR pattern IS NULL THEN 'allow' ELSE 'block' END AS verdict,
   CASE WHEN rule IS NULL THEN pattern END AS pattern
 FROM fits
-"""
+""".replace("PATTERNS", _patterns_sql())
 
 # 9: not-modified revisits
 

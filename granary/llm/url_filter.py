@@ -5,8 +5,8 @@ lower-cased) fetch the rules filed under them, and a rule is filed under that on
 the fewest URLs hold. A rule without a complete token is filed under the empty token, which every URL has.
 
 Rules come as a Python list, so their number is known: up to BROADCAST_RULES they are broadcast, more are joined by a
-shuffle, where adaptive execution splits a hot token. Judgements go back to the rows by URL; a URL that many rows share
-is a skewed join with one row on the other side, which adaptive execution splits too.
+shuffle, where adaptive execution splits a hot token. Judgements of URLs that some rule fits are written, then go back
+to the rows by URL: both sides of that join are plain exchanges, so a URL that many rows share, or none, can be split.
 
 A null URL, or one without ://, has an empty host and path and meets no host rule; patterns see a null as empty.
 Columns beyond page_id and url are not read. Repeated rows each get their own result; an empty table gives no rows.
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import stored
+
 BROADCAST_RULES = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,15 +43,18 @@ class Rule:
         if not self.pattern:
             host, slash, path = self.text.partition("/")
             return rf"(?s)\A(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}"
-        body, head, tail = self.text, "", ""
+        body, head, end = self.text, "", self.text.endswith("|")
         if body.startswith("||"):
             body, head = body[2:], r"\A[^/]*://(?:[^/?#]*\.)?"
         elif body.startswith("|"):
             body, head = body[1:], r"\A"
-        if body.endswith("|"):
-            body, tail = body[:-1], r"\z"
-        special = {"*": ".*", "^": r"(?:[^0-9a-z_.%-]|\z)"}
-        return "(?s)" + head + "".join(special.get(c, re.escape(c)) for c in body) + tail
+        pieces = ["".join(r"(?:[^0-9a-z_.%-]|\z)" if c == "^" else re.escape(c) for c in piece) for piece in body.removesuffix("|").split("*")]
+        if len(pieces) == 1:
+            return "(?s)" + head + pieces[0] + (r"\z" if end else "")
+        # where something stands between pieces the first place of each will do, so none is sought again: time in proportion
+        first = head + pieces[0] if head else rf"\A(?>.*?{pieces[0]})"
+        last = rf".*{pieces[-1]}\z" if end else f"(?>.*?{pieces[-1]})"
+        return "(?s)" + first + "".join(f"(?>.*?{p})" for p in pieces[1:-1]) + last
 
     @property
     def tokens(self) -> list[str]:
@@ -107,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> D
     if len(rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
     subject = F.when(F.col("pattern"), ascii_lower(F.col("url"))).otherwise(F.concat("host", "path"))
-    hits = tokens.join(index, "token").where(F.rlike(subject, F.col("regex")))
+    hits = tokens.join(index, "token").where(F.rlike(subject, F.col("regex")))  # most URLs fetch few rules, see the README
     rank = F.struct(F.length("rule").alias("length"), (-F.col("id")).alias("id"))
     allows = F.col("pattern") & (F.col("action") == "allow")
     best = lambda of: F.max_by(F.when(of, F.struct("rule", "action")), F.when(of, rank))
@@ -116,6 +121,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> D
         best(allows).alias("allowing"),
         best(F.col("pattern") & (F.col("action") != "allow")).alias("blocking"),
     )
+    judged = stored(judged.where("host_rule IS NOT NULL OR allowing IS NOT NULL OR blocking IS NOT NULL"))
     pattern = F.coalesce("allowing", "blocking")
     out = rows.join(judged, "url", "left")
     return out.select(

@@ -176,6 +176,9 @@ def test_mixing(spark, docs):
         assert abs(group.taken.sum() - value) < 0.02 * value + 40
     again = mixing.mix(docs.repartition(5)).toPandas()
     assert sorted(got[["doc_id", "size", "taken"]].fillna(-1).itertuples(index=False)) == sorted(again[["doc_id", "size", "taken"]].fillna(-1).itertuples(index=False))
+    split = mixing.mix(docs, shard=100).toPandas()
+    for value, group in split.groupby("target"):
+        assert abs(group.taken.sum() - value) < 0.02 * value + 300
     words = mixing.mixed_texts(docs).select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
     assert words == got.taken.sum() and mixing.mix(docs.limit(0)).count() == 0
 
@@ -280,6 +283,29 @@ def test_url_filter(spark):
     for i, (url, want) in enumerate(urls.items()):
         assert (by_id[i].rule, by_id[i].verdict) == want, url
     assert (by_id[99].host, by_id[99].path, by_id[99].verdict) == ("", "", "allow")
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+    long = [(1, "http://bad/" + "x" * 300_000), (2, "http://fine.net/" + "bad/" * 100_000)]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(long, "page_id long, url string"), rules).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
+def test_native_operators_match_their_sql(spark):
+    """op1, op8 and op9, whose results SQL can express, on the smallest tables."""
+    import duckdb
+
+    from granary.llm import queries
+    from tests.test_queries import plain
+
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("conversations", "pages"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        rows = queries.QUERIES[name](spark, folder)
+        found = duck.execute(sql)
+        have = [d[0] for d in found.description]
+        assert sorted(have) == sorted(rows.columns)
+        assert sorted((tuple(plain(r[c]) for c in have) for r in rows.collect()), key=repr) == sorted((tuple(map(plain, r)) for r in found.fetchall()), key=repr), name
 
 
 # 10
