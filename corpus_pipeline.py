@@ -3,6 +3,12 @@
 Quality rules drop the documents they reject; the n-gram Jaccard join leaves one document of each group of near
 duplicates; substring dedup cuts passages that an earlier document has; mixing draws the sources to their target
 weights, repeating or cutting documents; byte-level BPE encodes what the mix holds.
+
+Each stage takes the columns of documents as they are (others may stand beside them, and stay until the last stage). A
+null text is empty: rules reject it, as they do texts of fewer than 50 words. A null id or source is a value like any
+other; where a group's rows are told apart, null ids come last. Rows that repeat an id and a text are near duplicates of
+each other, and one is left. Ties go to the least id, then the least hash of the text. Texts are processed whole, whatever
+their length. Without labels only the base rule rejects; an empty table gives an empty result.
 """
 
 from __future__ import annotations
