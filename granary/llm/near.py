@@ -283,13 +283,19 @@ def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFram
 
     A row is told by its id and its text, so a text that nothing resembles stays though its id also names another that
     goes. Rows with a null id come last in their group, and go like others. Texts without words stay. Of rows that repeat
-    the kept one's id and text one stays; only those are shuffled to find it.
+    the kept one's id and text one stays. Rows whose mark shares no hash position with one that goes or repeats are not
+    shuffled; the positions are a broadcast table of at most POSITIONS rows.
     """
     found = stored(classes(docs, threshold).where("n_links > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "class"))
     stays = F.col("_id").eqNullSafe(F.col("class.doc_id")) & (F.col("_mark") == F.col("class.mark"))
     goes = found.where(~stays).select("_id", "_mark").distinct()
     twice = found.where(stays).groupBy("_id", "_mark").count().where("count > 1").select("_id", "_mark")
-    same = (F.xxhash64(docs["text"]) == F.col("_mark")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    left = docs.join(goes, same, "left_anti")
+    spots = F.broadcast(goes.union(twice).select(F.pmod("_mark", F.lit(POSITIONS)).alias("_spot")).distinct())
+    mark = F.xxhash64(docs["text"])
+    rest = docs.join(spots, F.pmod(mark, F.lit(POSITIONS)) == F.col("_spot"), "left_anti")
+    maybe = docs.join(spots, F.pmod(mark, F.lit(POSITIONS)) == F.col("_spot"), "left_semi")
+    same = (F.xxhash64(maybe["text"]) == F.col("_mark")) & maybe["doc_id"].eqNullSafe(F.col("_id"))
+    left = maybe.join(goes, same, "left_anti")
     again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, same, "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    parts = (rest, left.join(twice, same, "left_anti"), again)
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))
