@@ -250,7 +250,8 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     bands = nodes.select(F.explode(F.array(*band)).alias("key"), "node")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     together = stored(bands.join(shared, "key"))
-    candidates = in_blocks(together.join(nodes.select("node", "signature"), "node"), "key", "members")
+    # in the order of nodes, so that a group's links lead to the same few least nodes in all bands
+    candidates = in_blocks(together.join(nodes.select("node", "signature"), "node"), "key", "members", ("node",))
     links = map_batches(candidates, _candidate_links(threshold), "a binary, b binary")
     clusters = components(links)
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
