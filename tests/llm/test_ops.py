@@ -78,6 +78,29 @@ def test_bpe_equals_the_library(spark, docs):
     edited.append("ing 're")
     edited.replace(2, 3, "x\n\n ")
     assert edited.ids() == library.encode_ordinary(edited.text)
+    assert bpe.encode_texts(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode_texts(docs.withColumn("ids", F.lit(1)), path, public_tokenizers.PATTERN, keep=("ids",))
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"[^\s\p{L}]+[\r\n]*|\p{L}+| +|\s+"])
+def test_bpe_edits_by_any_pattern(pattern):
+    vocabulary = bpe.Vocabulary(bpe.load_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).ranks)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    random = np.random.default_rng(5)
+    bits = ["it's", " ", "  ", "\n", "!!\n", "\r\n ", "naïve", "日本語", "2024", "\u3000", "…", "x" * 70, "unbelievable", "\x85", "é"]
+    encoder, text = bpe.Encoder(vocabulary, pattern), ""
+    encoder.known_chunks, encoder.known_pieces = bpe.Memory(10), bpe.Memory(10)  # what is forgotten is encoded anew
+    edited = bpe.EditableText(vocabulary, pattern)
+    for _ in range(120):
+        begin = int(random.integers(0, len(text) + 1))
+        end = min(len(text), begin + int(random.integers(0, 6)))
+        new = "".join(random.choice(bits, int(random.integers(0, 4))))
+        text = text[:begin] + new + text[end:]
+        edited.replace(begin, end, new)
+        assert edited.ids() == library.encode_ordinary(text)
+    texts = [text, "", "".join(random.choice(bits, 300)), "é" * 3000, text]
+    assert [np.frombuffer(d, "<u4").tolist() for d in encoder.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
 # 3
