@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -19,18 +17,19 @@ def page_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, folder: str, target: str, checkpoint: str, placeholders: list[str]) -> StreamingQuery:
-    """Keeps target, a folder of versions, at the last row of each id; each batch writes the next version whole.
+    """Keeps target, a folder of versions v=0, v=1, ..., at the last row of each id; each batch writes the next one whole.
 
-    A batch that is run again after a failure writes the same version, so an update happens once.
+    Paths may be of any file system that Spark reads. A batch that is run again after a failure writes the same version,
+    so an update happens once. A batch fails if the version before its own is missing.
     """
+    target = target.rstrip("/")
 
     def merge(batch: DataFrame, number: int) -> None:
         new = last_wins(canonical(batch, placeholders, keep=("file", "pos")), "cve_id", "file", "pos")
-        before = Path(target) / f"v={number - 1}"
-        if number and before.exists():
-            old = spark.read.parquet(str(before))
+        if number:
+            old = spark.read.parquet(f"{target}/v={number - 1}")
             new = old.join(new.select("cve_id"), "cve_id", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(str(Path(target) / f"v={number}"))
+        new.write.mode("overwrite").parquet(f"{target}/v={number}")
 
     return page_stream(spark, folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -133,6 +133,10 @@ def test_samples(spark):
     picked = generator.sample(range(10), 6)
     generator.shuffle(picked)
     assert [r.ord for r in sample.exact_sample(rows, 6, 5).orderBy("draw_rank").collect()] == picked
+    many = spark.createDataFrame([(None, -1), *((k * k % 1009 + 1009 * k, k) for k in range(400))], "ord long, k int").repartition(5)
+    ordered = sorted(((-1 if r.ord is None else r.ord), r.place) for r in sample.numbered(many).collect())
+    assert [place for _, place in ordered] == list(range(401)) and sample.numbered(many.limit(0)).count() == 0
+    assert [r.ord for r in sample.subset(rows, 4, None).orderBy("draw_rank").collect()] == [0, 1, 2, 3]
     assert sample.allocate({"x": 50, "y": 3, "z": 3}, 8) == {"x": 6, "y": 1, "z": 1}
     draws = random.Random(8)
     for _ in range(300):

@@ -1,8 +1,13 @@
-"""The page stream keeps the last row of each id, also over batches."""
+"""Streams: the last row of each id over batches, contents once, and the same event windows as a table gives."""
 
 import json
+import shutil
+from datetime import datetime, timedelta
 
-from granary.streaming.incremental import upsert
+import pytest
+from pyspark.errors import StreamingQueryException
+
+from granary.streaming.incremental import distinct_stream, event_windows, upsert
 
 
 def page(folder, name, rows):
@@ -19,3 +24,27 @@ def test_upsert(spark, tmp_path):
     run()
     got = {r.cve_id: r.description_en for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()}
     assert got == {"CVE-2024-0001": "a", "CVE-2024-0002": "c", "CVE-2024-0003": "d"}
+    shutil.rmtree(tmp_path / "out" / "v=1")
+    page(tmp_path / "in", "page_0000004.json", [("CVE-2024-0004", "e")])
+    with pytest.raises(StreamingQueryException):  # never a version without the rows of the one before
+        run()
+    assert not (tmp_path / "out" / "v=2").exists()
+
+
+def through(rows, folder, name, mode, step):
+    """What a stream of these files gives."""
+    stream = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    step(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.table(name).collect()
+
+
+def test_distinct_stream_and_event_windows(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    events = [(start + timedelta(minutes=13 * k), "ab"[k % 2], float(k), f"c{k % 7}") for k in range(40)]
+    rows = spark.createDataFrame([*events, events[3]], "ts timestamp, event_type string, value double, content string")
+    for k in range(2):  # two files: two batches
+        rows.where(f"(value >= 20) = ({k} = 1)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = through(rows, str(tmp_path / "in"), "distinct_rows", "append", lambda s: distinct_stream(s, "ts", "content", "10 days"))
+    assert sorted(r.content for r in got) == [f"c{k}" for k in range(7)]
+    got = through(rows, str(tmp_path / "in"), "windows", "complete", lambda s: event_windows(s, delay="10 days"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, event_windows(rows).collect()))
