@@ -91,10 +91,8 @@ def build(population: DataFrame, sampled: DataFrame, labels: list[str], folder:
     ordered = out.join(keyed, F.col("cve_id") == F.col("_id"))
     for split in SPLITS:
         path = folder / f"{split}.jsonl"
-        part = ordered.where(F.col("split") == split).orderBy(*(f"_{c}" for c in have)).select(*COLUMNS)
-        lines = part.select(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}).alias("line"))
-        files.write_text("".join(r["line"] + "\n" for r in lines.toLocalIterator()), path)
-        entries[split] = {"path": path.name, "rows": part.count(), "sha256": files.file_sha256(path)}
+        written, digest = files.write_jsonl(ordered.where(F.col("split") == split), path, [f"_{c}" for c in have], COLUMNS)
+        entries[split] = {"path": path.name, "rows": written, "sha256": digest}
     manifest = {
         "version": 2,
         "created_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),
@@ -143,8 +141,8 @@ def rebuild_split(spark: SparkSession, rows: DataFrame, split: str, folder: str
         all_ = all_.unionByName(other)
     guarded(all_.select("split", "cve_id", F.monotonically_increasing_id().alias("ord"), hash_of(all_).alias("text_hash")))
     path = folder / manifest["files"][split]["path"]
-    files.write_jsonl(rows.select(*COLUMNS), path, ["published", "cve_id"])
-    manifest["files"][split] |= {"rows": rows.count(), "sha256": files.file_sha256(path)}
+    written, digest = files.write_jsonl(rows, path, ["published", "cve_id"], COLUMNS)
+    manifest["files"][split] |= {"rows": written, "sha256": digest}
     manifest["counts"][split] = manifest["files"][split]["rows"]
     manifest["dataset_sha256"] = manifest_hash(manifest["files"])
     manifest["changelog"] = [*manifest.get("changelog", []), f"rebuilt {split}"]

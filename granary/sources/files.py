@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
@@ -20,21 +21,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return lines.select(F.from_json("value", ddl).alias("row"), "ord").select("row.*", "ord")
 
 
-def _replace(path: Path, lines) -> None:
+def _replace(path: Path, lines: Iterable[str]) -> tuple[int, str]:
+    digest, n = hashlib.sha256(), 0
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_name(path.name + ".tmp")
     with part.open("w", encoding="utf-8", newline="\n") as out:
         for line in lines:
             out.write(line)
+            digest.update(line.encode())
+            n += 1
         out.flush()
         os.fsync(out.fileno())
     os.replace(part, path)
+    return n, digest.hexdigest()
 
 
-def write_jsonl(rows: DataFrame, path: str | Path, order: list[str]) -> None:
-    """One file of JSON lines in that order, columns in the table's order, streamed through the driver row by row."""
-    lines = rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
-    _replace(Path(path), (r["line"] + "\n" for r in lines.toLocalIterator()))
+def write_jsonl(rows: DataFrame, path: str | Path, order: list[str], columns: Iterable[str] | None = None) -> tuple[int, str]:
+    """One file of JSON lines in that order, of all columns or these; returns how many lines it has and its SHA-256.
+
+    One file in one order is what the format asks for, so rows are streamed through the driver, a partition at a time.
+    """
+    line = F.to_json(F.struct(*(columns or rows.columns)), {"ignoreNullFields": "false"}).alias("line")
+    return _replace(Path(path), (r["line"] + "\n" for r in rows.orderBy(*order).select(line).toLocalIterator()))
 
 
 def write_json(value: Any, path: str | Path) -> None:
@@ -58,7 +66,7 @@ def file_sha256(path: str | Path) -> str:
 
 
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """Per file: name, sha256 and rows (lines that aren't blank)."""
+    """Per file: name, sha256 and rows (lines that aren't blank). A file is one row, so it must be under 2 GB."""
     files = spark.read.format("binaryFile").load(folder)
     lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: F.trim(x) != "")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.size(lines).cast("long").alias("rows"))
