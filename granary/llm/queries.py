@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, ctw, mixing, near, passages, quality, url_filter, warc
+from . import ann, bpe, chat, ctw, mixing, near, passages, quality, sharding, url_filter, variants, warc, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,6 +216,28 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# 11: embedding whitening
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+# 12: spelling variant grouping
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# 13: sharding
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 16, keep=("doc_id",))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
@@ -227,6 +249,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_sharding": op13_sharding,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
