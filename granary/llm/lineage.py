@@ -38,6 +38,14 @@ def dropped(spark: SparkSession) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of df begins with: names that begin so, and no column's, may stand beside its own."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/granary-{uuid.uuid4().hex}"

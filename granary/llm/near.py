@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .arrays import chunks, map_batches, mix, repeated, shingles
 from .components import components, group_bounds, label_pairs, whole_groups
-from .lineage import stored
+from .lineage import free_prefix, stored
 
 WIDTH, BANDS, ROWS, ROUND, TOLERANCE, BLOCK = 5, 24, 4, 16, 1e-6, 1024
 HASHES = BANDS * ROWS
@@ -287,15 +287,17 @@ def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFram
     the kept one's id and text one stays. Rows whose mark shares no hash position with one that goes or repeats are not
     shuffled; the positions are a broadcast table of at most POSITIONS rows.
     """
-    found = stored(classes(docs, threshold).where("n_links > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "class"))
-    stays = F.col("_id").eqNullSafe(F.col("class.doc_id")) & (F.col("_mark") == F.col("class.mark"))
-    goes = found.where(~stays).select("_id", "_mark").distinct()
-    twice = found.where(stays).groupBy("_id", "_mark").count().where("count > 1").select("_id", "_mark")
-    spots = F.broadcast(goes.union(twice).select(F.pmod("_mark", F.lit(POSITIONS)).alias("_spot")).distinct())
+    p = free_prefix(docs)
+    own_id, own_mark, spot = f"{p}id", f"{p}mark", f"{p}spot"
+    found = stored(classes(docs, threshold).where("n_links > 0").select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark), "class"))
+    stays = F.col(own_id).eqNullSafe(F.col("class.doc_id")) & (F.col(own_mark) == F.col("class.mark"))
+    goes = found.where(~stays).select(own_id, own_mark).distinct()
+    twice = found.where(stays).groupBy(own_id, own_mark).count().where("count > 1").select(own_id, own_mark)
+    spots = F.broadcast(goes.union(twice).select(F.pmod(own_mark, F.lit(POSITIONS)).alias(spot)).distinct())
     mark = F.xxhash64(docs["text"])
-    rest = docs.join(spots, F.pmod(mark, F.lit(POSITIONS)) == F.col("_spot"), "left_anti")
-    maybe = docs.join(spots, F.pmod(mark, F.lit(POSITIONS)) == F.col("_spot"), "left_semi")
-    same = (F.xxhash64(maybe["text"]) == F.col("_mark")) & maybe["doc_id"].eqNullSafe(F.col("_id"))
+    rest = docs.join(spots, F.pmod(mark, F.lit(POSITIONS)) == F.col(spot), "left_anti")
+    maybe = docs.join(spots, F.pmod(mark, F.lit(POSITIONS)) == F.col(spot), "left_semi")
+    same = (F.xxhash64(maybe["text"]) == F.col(own_mark)) & maybe["doc_id"].eqNullSafe(F.col(own_id))
     left = maybe.join(goes, same, "left_anti")
     again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
     parts = (rest, left.join(twice, same, "left_anti"), again)

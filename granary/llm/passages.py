@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from .arrays import chunks, map_batches, mix, shingles
 from .components import components, group_bounds, label_pairs, whole_groups
-from .lineage import stored
+from .lineage import free_prefix, stored
 from .near import _fixed, _matrix, in_blocks
 
 WIDTH, SPAN, RUN, HASHES, THRESHOLD, REACH = 5, 50, 20, 2, 0.8, 63
@@ -550,21 +550,23 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A row whose text loses all its words goes. Only rows that may lose something are shuffled.
     """
-    found = stored(passages(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed")))
-    spots = F.broadcast(found.select(F.pmod("_mark", F.lit(POSITIONS)).alias("_spot")).distinct())
+    p = free_prefix(docs)
+    own_id, own_mark, removed, spot = f"{p}id", f"{p}mark", f"{p}removed", f"{p}spot"
+    found = stored(passages(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark), F.col("removed").alias(removed)))
+    spots = F.broadcast(found.select(F.pmod(own_mark, F.lit(POSITIONS)).alias(spot)).distinct())
     mark = F.xxhash64(docs["text"])
-    maybe = docs.join(spots, F.pmod(mark, F.lit(POSITIONS)) == F.col("_spot"), "left_semi")
-    rest = docs.join(spots, F.pmod(F.coalesce(mark, F.lit(0)), F.lit(POSITIONS)) == F.col("_spot"), "left_anti")
-    joined = maybe.join(found, (F.xxhash64(maybe["text"]) == F.col("_mark")) & maybe["doc_id"].eqNullSafe(F.col("_id")), "left")
+    maybe = docs.join(spots, F.pmod(mark, F.lit(POSITIONS)) == F.col(spot), "left_semi")
+    rest = docs.join(spots, F.pmod(F.coalesce(mark, F.lit(0)), F.lit(POSITIONS)) == F.col(spot), "left_anti")
+    joined = maybe.join(found, (F.xxhash64(maybe["text"]) == F.col(own_mark)) & maybe["doc_id"].eqNullSafe(F.col(own_id)), "left")
     # a piece is a word with the white space before it; pieces outside every range stay
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     size = F.size(pieces)
-    begins = F.concat(F.array(F.lit(0)), F.transform("_removed", lambda s: s["to"]))
-    ends = F.concat(F.transform("_removed", lambda s: s["from"]), F.array(size))
+    begins = F.concat(F.array(F.lit(0)), F.transform(removed, lambda s: s["to"]))
+    ends = F.concat(F.transform(removed, lambda s: s["from"]), F.array(size))
     kept = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda s: F.array_join(F.slice(pieces, s["a"] + 1, F.greatest(s["b"] - s["a"], F.lit(0))), ""))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    cut = joined.withColumn("text", text).where(F.col("_removed").isNull() | (F.length("text") > 0))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    cut = joined.withColumn("text", text).where(F.col(removed).isNull() | (F.length("text") > 0))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        cut = cut.withColumn("n_chars", F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     cut = cut.select(*docs.columns)
     return rest.select(*docs.columns).unionByName(cut)

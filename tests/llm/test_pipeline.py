@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tiktoken.load import load_tiktoken_bpe
 
 import corpus_pipeline
@@ -28,7 +29,9 @@ def folder(spark, tmp_path_factory):
     rows = [(i, t, "en", [None, "s1", "s2", "s3"][i % 4], None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[0], (0, prose(30, 100), "en", "s1", 1), (None, texts[1], None, None, None), (None, prose(31, 100), None, None, None)]
     out = str(tmp_path_factory.mktemp("pipeline"))
-    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{out}/documents.parquet")
+    clashing = ["_mark", "_id", "_spot", "_removed", "key", "stats", "mark", "class", "node", "label", "kept", "mix_size", "mix_parts", "size", "words", "shard", "spans", "base_failed", "rule"]
+    table = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in clashing})
+    table.repartition(3).write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
     return out
 
