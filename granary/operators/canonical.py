@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once, strip, text_hash
+from .verify import json_reader
 
 ID = r"\ACVE-[0-9]{4}-[0-9]{4,}\z"
 LABEL = r"\ACWE-[0-9]+\z"
@@ -77,17 +78,23 @@ _FLAGS = ("placeholder_only", "is_kev", "is_rejected")
 
 
 def validate(lines: DataFrame, line: str = "value", nfkc: bool = False) -> DataFrame:
-    """The lines (JSON text) with cve_id and problems: the codes of what is wrong with the record, in a fixed order."""
-    lines, v = once(lines, _v=F.try_parse_json(line), _keys=F.json_object_keys(line)), F.col("_v")
-    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), F.lit("VOID"))
-    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
-    flag = lambda name: F.when(kind(name) == "BOOLEAN", F.try_variant_get(v, f"$.{name}", "boolean"))
+    """The lines (JSON text) with cve_id and problems: the codes of what is wrong with the record, in a fixed order.
+
+    A line is one JSON value and nothing after it. Of a key given twice the last value counts; NaN and the infinities are
+    read as numbers.
+    """
+    lines = once(lines, _text=json_reader(0.5)(F.col(line)))
+    lines = once(lines, _keys=F.json_object_keys("_text"), _fields=F.from_json("_text", ", ".join(f"{c} VARIANT" for c in COLUMNS)))
+    lines = once(lines, _kinds=F.struct(*(F.coalesce(F.schema_of_variant(F.col(f"_fields.{c}")), F.lit("VOID")).alias(c) for c in COLUMNS)))
+    kind = lambda name: F.col(f"_kinds.{name}")
+    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(F.col(f"_fields.{name}"), "$", "string"))
+    flag = lambda name: F.when(kind(name) == "BOOLEAN", F.try_variant_get(F.col(f"_fields.{name}"), "$", "boolean"))
     is_number = lambda k: k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
     no = lambda c: ~F.coalesce(c, F.lit(False))
 
     def labels(name: str) -> tuple[Column, Column]:
         """The list, and whether it is one of texts only."""
-        values = F.try_variant_get(v, f"$.{name}", "array<string>")
+        values = F.try_variant_get(F.col(f"_fields.{name}"), "$", "array<string>")
         return values, F.coalesce(kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(values, lambda x: x.isNotNull()), F.lit(False))
 
     keys = F.coalesce("_keys", F.array().cast("array<string>"))
@@ -121,8 +128,8 @@ def validate(lines: DataFrame, line: str = "value", nfkc: bool = False) -> DataF
         (F.coalesce(flag("is_kev") != (kind("kev_date_added") != "VOID"), F.lit(False)), "inconsistent_is_kev"),
     ]
     found = F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in checks)), lambda x: x.isNotNull())
-    problems = F.when(v.isNull(), F.array(F.lit("invalid_json"))).when(F.col("_keys").isNull(), F.array(F.lit("record_not_object"))).otherwise(found)
-    return lines.withColumns({"cve_id": text("cve_id"), "problems": problems}).drop("_v", "_keys")
+    problems = F.when(F.col("_text").isNull(), F.array(F.lit("invalid_json"))).when(F.col("_keys").isNull(), F.array(F.lit("record_not_object"))).otherwise(found)
+    return lines.withColumns({"cve_id": text("cve_id"), "problems": problems}).drop("_text", "_keys", "_fields", "_kinds")
 
 
 def validation_summary(checked: DataFrame, order: str = "ord", examples: int = 20) -> dict:

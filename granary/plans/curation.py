@@ -424,13 +424,14 @@ def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         line, put('"vuln_status":"[A-Za-z]+"', '"vuln_status":5'), put('"is_kev":(true|false)', '"is_kev":"x"'), put(r'"cwe_all":\[[^\]]*\]', '"cwe_all":"no"'), put(r'"cwe_primary":\[[^\]]*\]', '"cwe_primary":["bad"]'),
         put('"published":"', '"published":"x'), F.concat(F.lit("{"), line), F.lit("[1]"), put('"is_rejected":(true|false)', '"rejected":true'), put('"label_status":"[a-z_]+"', '"label_status":"other"'),
         put('"description_norm_hash":"', '"description_norm_hash":"0'), put(r'"cwe_all":\[[^\]]*\]', '"cwe_all":["CWE-2","CWE-1"]'), put(r'"cwe_all":\[[^\]]*\]', '"cwe_all":["bad",null]'),
+        F.concat(line, F.lit(" trailing")), F.concat(line, F.lit(" "), line), F.lit("[1] x"), F.lit('{"a": 1}{'), put('"is_kev":', '"is_kev":"first","is_kev":'), put('"cvss_v31_base_score":[^,}]*', '"cvss_v31_base_score":NaN'),
     ]
     return rows.select("doc_id", F.element_at(F.array(*faults), (F.col("doc_id") % len(faults) + 1).cast("int")).alias("value"))
 
 
 @query(
-    f"""WITH {_CANONICAL_SQL} SELECT doc_id, unnest(list_filter(CASE doc_id % 13
-      WHEN 1 THEN ['invalid_type:vuln_status'] WHEN 2 THEN ['invalid_type:is_kev'] WHEN 3 THEN ['invalid_type:cwe_all', CASE WHEN cwe_id IS NOT NULL THEN 'inconsistent_cwe_id' END]
+    f"""WITH {_CANONICAL_SQL} SELECT doc_id, unnest(list_filter(CASE doc_id % 19
+      WHEN 13 THEN ['invalid_json'] WHEN 14 THEN ['invalid_json'] WHEN 15 THEN ['invalid_json'] WHEN 16 THEN ['invalid_json'] WHEN 1 THEN ['invalid_type:vuln_status'] WHEN 2 THEN ['invalid_type:is_kev'] WHEN 3 THEN ['invalid_type:cwe_all', CASE WHEN cwe_id IS NOT NULL THEN 'inconsistent_cwe_id' END]
       WHEN 4 THEN ['invalid_cwe:cwe_primary'] WHEN 5 THEN ['invalid_published'] WHEN 6 THEN ['invalid_json'] WHEN 7 THEN ['record_not_object'] WHEN 8 THEN ['missing_field:is_rejected', 'invalid_type:is_rejected']
       WHEN 9 THEN ['invalid_label_status'] WHEN 10 THEN ['description_norm_hash_mismatch']
       WHEN 11 THEN ['cwe_all_not_sorted_unique', CASE WHEN cwe_id IS NOT NULL THEN 'inconsistent_cwe_id' END, CASE WHEN label_status <> 'multi' THEN 'inconsistent_label_status' END, CASE WHEN placeholder_only THEN 'inconsistent_placeholder_only' END]

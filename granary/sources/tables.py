@@ -79,18 +79,20 @@ POPULATION_SQL = (
 
 
 def _outputs(step: int, shift: int) -> F.Column:
-    """The raw output of a row: one of 8 values in one of 6 wrappers, by the two digits of a number of the row."""
+    """The raw output of a row: one of 10 values in one of 6 wrappers, by the two digits of a number of the row."""
     g, x = F.col("gold"), F.col("ord") * step + shift
     other, digits = label_at(F.col("ord") + 7), F.substring("gold", 5, 9)
     say = lambda *parts: F.concat(*(p if isinstance(p, F.Column) else F.lit(p) for p in parts))
     pick = lambda place, of: F.element_at(F.array(*of), (place + 1).cast("int"))
-    values = [say('"', g, '"'), digits, say('"', F.lower(F.replace(g, F.lit("-"), F.lit(" "))), '"'), say('"', other, '"'), F.lit('"CWE-77777"'), say('"', g, " and ", other, '"'), say('["', g, '"]'), F.lit("true")]
-    value = pick(F.floor(x / 6) % 8, values)
+    values = [say('"', g, '"'), digits, say('"', F.lower(F.replace(g, F.lit("-"), F.lit(" "))), '"'), say('"', other, '"'), F.lit('"CWE-77777"'), say('"', g, " and ", other, '"'), say('["', g, '"]'), F.lit("true"), F.lit(LONG), F.lit(f"{LONG}.0")]
+    value = pick(F.floor(x / 6) % 10, values)
     under = lambda key: say(f'{{"{key}": ', value, "}")
     wrappers = [under("cwe_id"), say("```json\n", under("cwe_id"), "\n```"), say("<think>so</think> ", under("cwe_id")), say("The label is ", under("cwe_id"), "."), under("class"), value]
     return pick(x % 6, wrappers)
 
 
+#: A whole number beyond 64 bits, and beyond what a decimal holds.
+LONG = "1234567890" * 5
 RUNS = {"base": (1, 0), "tuned": (7, 3)}
 
 
@@ -105,14 +107,14 @@ def _predictions_sql(model: str) -> str:
     allowed = ", ".join(f"'{x}'" for x in ALLOWED)
     return f"""
 {model}0 AS (
-  SELECT ord, cve_id, cwe_id AS gold, description_en AS description, is_kev, (ord * {step} + {shift}) % 6 AS wrapper, (ord * {step} + {shift}) // 6 % 8 AS form, ([{_LIST}])[(ord + 7) % 20 + 1] AS other FROM rec
+  SELECT ord, cve_id, cwe_id AS gold, description_en AS description, is_kev, (ord * {step} + {shift}) % 6 AS wrapper, (ord * {step} + {shift}) // 6 % 10 AS form, ([{_LIST}])[(ord + 7) % 20 + 1] AS other FROM rec
 ), {model}1 AS (
-  SELECT *, CASE WHEN wrapper > 3 THEN NULL WHEN form < 3 THEN gold WHEN form = 3 THEN other WHEN form = 4 THEN 'CWE-77777' END AS pred, wrapper <> 5 AS valid_json, wrapper < 4 AS has_key FROM {model}0
+  SELECT *, CASE WHEN wrapper > 3 THEN NULL WHEN form < 3 THEN gold WHEN form = 3 THEN other WHEN form = 4 THEN 'CWE-77777' WHEN form = 8 THEN 'CWE-{LONG}' END AS pred, wrapper <> 5 AS valid_json, wrapper < 4 AS has_key FROM {model}0
 ), {model} AS (
   SELECT *, coalesce(pred IN ({allowed}), false) AS valid_label, coalesce(pred IN ({allowed}) AND pred = gold, false) AS exact_match FROM {model}1
 ), {model}_flags AS (
   SELECT ord, unnest(list_filter([CASE wrapper WHEN 2 THEN 'think_block_present' WHEN 4 THEN 'missing_key' WHEN 5 THEN 'not_json' END,
-    CASE WHEN has_key AND form IN (5, 6) THEN 'multiple_cwe' WHEN has_key AND form = 7 THEN 'bad_cwe_format' END,
+    CASE WHEN has_key AND form IN (5, 6) THEN 'multiple_cwe' WHEN has_key AND form IN (7, 9) THEN 'bad_cwe_format' END,
     CASE WHEN pred IS NOT NULL AND NOT valid_label THEN 'label_not_allowed' END], lambda x: x IS NOT NULL)) AS flag FROM {model}
 )"""
 

@@ -13,6 +13,7 @@ GOLD = "CWE-416"
 VALUES = [
     ('"CWE-416"', "CWE-416", None), ('"cwe_416"', "CWE-416", None), ("416", "CWE-416", None), ('"0416 "', "CWE-416", None), ('"CWE-20"', "CWE-20", None), ('"CWE-999"', "CWE-999", None),
     ('"CWE-20, CWE-416"', None, "multiple_cwe"), ('["CWE-416"]', None, "multiple_cwe"), ("[]", None, "multiple_cwe"), ("false", None, "bad_cwe_format"), ("null", None, "bad_cwe_format"), ("4.5", None, "bad_cwe_format"),
+    (str(2**63), f"CWE-{2**63}", None), (str(-(10**50)), f"CWE--{10**50}", None), ("416.0", None, "bad_cwe_format"), ("1e30", None, "bad_cwe_format"),
     ('"use after free"', None, "bad_cwe_format"), ('{"id": 416}', None, "bad_cwe_format"), ('"CWE-416 (likely)"', None, "bad_cwe_format"),
 ]
 #: Text around an object with the value, its flag, and whether it hides the object or its key.
@@ -25,8 +26,8 @@ WRAPPERS = [
 def expected(value, wrapper):
     """What the rules say of a value in a wrapper: the label and the flags in order."""
     (text, label, fault), (form, mark, hidden) = value, wrapper
-    if hidden == "not_json" and form.startswith("{") and text.startswith("{"):
-        hidden = "missing_key"  # the value is the first object that is whole
+    if form == '{"cwe_id": %s' and text.startswith("{"):
+        return None, ["not_json"]  # what begins at the first brace ends at the value's
     if form.startswith("Answer") and text.startswith("{"):
         return None, ["not_json"]  # cut at the first closing brace
     found = [mark, hidden or fault]
@@ -37,7 +38,6 @@ def expected(value, wrapper):
 
 def test_verifier_by_its_rules(spark):
     cases = [(form % text, *expected((text, label, fault), (form, mark, hidden))) for text, label, fault in VALUES for form, mark, hidden in WRAPPERS]
-    cases = [c for c in cases if not (c[0].startswith('{"cwe_id": {"id"') and c[0].count("}") == 1)]
     cases += [("", None, ["not_json"]), (None, None, ["not_json"]), ("CWE-416", None, ["not_json"]), ("<think>no end", None, ["think_block_present", "not_json"])]
     rows = spark.createDataFrame([(i, raw, GOLD) for i, (raw, _, _) in enumerate(cases)], "ord long, raw string, gold string")
     allowed = F.array(*map(F.lit, ALLOWED))
