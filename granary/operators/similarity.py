@@ -1,17 +1,12 @@
-"""Nearest rows by TF-IDF cosine, character-gram overlap of the closest pairs, and dense cosine.
-
-A query side and a train side are joined on terms, so a pair costs only what it shares; terms of one document only
-(min_df) never join. The query side is a sample by design: it is broadcast up to BROADCAST_ROWS weights, counted before.
-"""
+"""TF-IDF weights, the audit of nearest rows, character-gram overlap of the closest pairs, dense cosine and containment."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams, excerpt, folded, jaccard, ratio, tokens
-
-BROADCAST_ROWS = 2_000_000
+from .nearest import nearest
 
 
 def terms(text: Column) -> Column:
@@ -32,25 +27,6 @@ def tfidf(rows: DataFrame, text: Column, min_df: int = 2, *keys: str) -> DataFra
     return raw.join(norm, list(keys)).select(*keys, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def nearest(queries: DataFrame, train: DataFrame, min_df: int = 2) -> DataFrame:
-    """For each query row (cve_id, text) its train row (ord, cve_id, text) of the highest cosine, ties to the lowest ord.
-
-    Without a shared term the similarity is 0 and the row the first one. An empty side is an error.
-    """
-    if queries.isEmpty() or train.isEmpty():
-        raise ValueError("nearest rows need rows on both sides")
-    both = queries.select(F.lit(True).alias("asks"), F.lit(0).cast("long").alias("ord"), "cve_id", "text").unionByName(train.select(F.lit(False).alias("asks"), F.col("ord").cast("long"), "cve_id", "text"))
-    weights = tfidf(both, F.col("text"), min_df, "asks", "cve_id", "ord")
-    asks = weights.where("asks").select(F.col("cve_id").alias("query_id"), "term", F.col("weight").alias("query_weight"))
-    if asks.count() <= BROADCAST_ROWS:
-        asks = F.broadcast(asks)
-    pairs = weights.where("NOT asks").join(asks, "term").groupBy("query_id", "ord", "cve_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 9).alias("similarity"))
-    best = pairs.groupBy("query_id").agg(F.max_by(F.struct("ord", "cve_id", "similarity"), F.struct("similarity", (-F.col("ord")).alias("o"))).alias("best"))
-    first = train.agg(F.min_by("cve_id", "ord").alias("first_id"), F.min("ord").alias("first_ord"))
-    out = queries.select(F.col("cve_id").alias("query_id")).join(best, "query_id", "left").crossJoin(F.broadcast(first))  # one row
-    return out.select("query_id", F.coalesce("best.cve_id", "first_id").alias("train_id"), F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"))
-
-
 def audit_summary(rows: DataFrame) -> DataFrame:
     """Of similarity, transition and same_label: n, percentiles, counts from 0.8 and 0.9 on; over all and by transition."""
     if rows.isEmpty():
@@ -96,3 +72,6 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     spread = docs.select("doc_id", F.explode(F.array_distinct(F.array_append(words(F.col("text")), F.lit("")))).alias("word"))
     pairs = spread.join(filed, "word").select("doc_id", "item_id", "item_text").distinct()
     return docs.select("doc_id", "text").join(pairs, "doc_id").where(F.contains("text", F.col("item_text"))).select("doc_id", "item_id").distinct()
+
+
+__all__ = ["audit_summary", "closest_pairs", "containment", "dense_cosine", "nearest", "terms", "tfidf"]
