@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.text import char_grams, excerpt, folded, four_places, jaccard, once, redacted_excerpt, table_cell, text_hash, token_len
 from ..operators import canonical as can
-from ..operators import curate, export, sample, similarity, stats
+from ..operators import curate, digest, export, sample, similarity, stats
 from ..sources import tables
 from ..sources.pages import date_windows, windows_by_function
 from ..sources.tables import POPULATION_SQL, RECORDS_SQL, read, records
+from ..streaming.incremental import GAP, GAPS, sessions
 
 Q, SQL = {}, {}
 
@@ -237,10 +238,22 @@ def prompt_digest(spark, sf_dir):
     return export.prompt_digest(spark, labels_of(records(spark, sf_dir)))
 
 
-@query(f"WITH {CURATED_SQL}, d AS (SELECT split, sha256(string_agg(description_norm_hash, '' ORDER BY cve_id)) AS h FROM kept GROUP BY split) SELECT sha256(string_agg(h, '' ORDER BY CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END)) AS sha256 FROM d")
+_DIGEST_COLUMNS = ("cve_id", "cwe_id", "description_norm_hash")
+
+
+@query(f"WITH {CURATED_SQL}, {digest.tree_digest_sql('kept', 'split', _DIGEST_COLUMNS)} FROM tree")
+def split_digests(spark, sf_dir):
+    return digest.tree_digest(kept(spark, sf_dir), "split", *_DIGEST_COLUMNS)
+
+
+@query(f"WITH {CURATED_SQL}, {digest.tree_digest_sql('kept', 'split', _DIGEST_COLUMNS)} SELECT sha256(string_agg(sha256, '' ORDER BY CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END)) AS sha256 FROM tree")
 def dataset_digest(spark, sf_dir):
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cve_id", "description_norm_hash"))), lambda x: x["description_norm_hash"]), "")
-    return export.dataset_hash(kept(spark, sf_dir).groupBy("split").agg(F.sha2(listed, 256).alias("sha256")))
+    return export.dataset_hash(split_digests(spark, sf_dir))
+
+
+@query(f"WITH {digest.tree_digest_sql('documents', 'lang', ('doc_id', 'text'))} FROM tree")
+def document_digests(spark, sf_dir):
+    return digest.tree_digest(read(spark, sf_dir, "documents"), "lang", "doc_id", "text")
 
 
 @query(f"WITH {CURATED_SQL} SELECT cve_id, row_number() OVER (ORDER BY sha256('42:' || cve_id)) AS draw_rank FROM kept WHERE split = 'train' ORDER BY sha256('42:' || cve_id) LIMIT 100")
@@ -302,6 +315,19 @@ def event_windows(spark, sf_dir):
     return windows(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
+_GAP = "CASE event_type " + " ".join(f"WHEN '{k}' THEN INTERVAL '{v}'" for k, v in GAPS.items()) + f" ELSE INTERVAL '{GAP}' END"
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, ts, ts + {_GAP} AS upto, value FROM events WHERE ts IS NOT NULL),
+    b AS (SELECT *, coalesce(ts > max(upto) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS begins FROM e),
+    s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS place FROM b)
+    SELECT user_id, min(ts) AS session_start, max(upto) AS session_end, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, place"""
+)
+def session_windows(spark, sf_dir):
+    return sessions(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
 @query("SELECT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)")
 def benchmark_containment(spark, sf_dir):
     return similarity.containment(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

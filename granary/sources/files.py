@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .parts import digests_of
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A row for each line that isn't blank, with ord: ascending in the file's order."""
@@ -66,7 +68,6 @@ def file_sha256(path: str | Path) -> str:
 
 
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """Per file: name, sha256 and rows (lines that aren't blank). A file is one row, so it must be under 2 GB."""
-    files = spark.read.format("binaryFile").load(folder)
-    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: F.trim(x) != "")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.size(lines).cast("long").alias("rows"))
+    """Per file: name, sha256 and rows (lines that aren't blank). A task streams a file's bytes, however many there are."""
+    files = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return digests_of(files).drop("path")

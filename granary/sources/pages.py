@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -152,5 +152,7 @@ def scan_pages(spark: SparkSession, folder: str, windows: DataFrame | None = Non
 
 
 def with_order(rows: DataFrame, *columns: str) -> DataFrame:
-    """ord: the place of each row by the columns, as one number; for tables that fit one sort."""
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(*columns)).cast("long"))
+    """ord: the place of each row by the columns, from 1, as one number."""
+    from ..operators.sample import numbered  # which stores its steps as sources do
+
+    return numbered(rows, *columns, name="ord").withColumn("ord", F.col("ord") + 1)

@@ -45,3 +45,23 @@ def event_windows(events: DataFrame, size: str = "1 hour", delay: str = "10 minu
         events = events.withWatermark("ts", delay)
     out = events.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+#: How long after an event of a type a session goes on without another event; GAP for all other types.
+GAPS = {"view": "6 hours", "click": "12 hours", "purchase": "1 day"}
+GAP = "3 hours"
+
+
+def sessions(events: DataFrame, gaps: dict[str, str] | None = None, gap: str = GAP, delay: str = "10 minutes") -> DataFrame:
+    """Counts and sums of each user's events by session; works on a stream (in append mode) and on a table.
+
+    A session goes on as long as the next event comes before, or when, the gap of an event before it ends, whose length
+    its type sets; it ends with the last such gap. Events without a time are in none; a null user is one user.
+    """
+    if events.isStreaming:
+        events = events.withWatermark("ts", delay)
+    after = F.lit(gap)
+    for kind, length in (GAPS if gaps is None else gaps).items():
+        after = F.when(F.col("event_type") == kind, length).otherwise(after)
+    out = events.groupBy(F.session_window("ts", after).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
