@@ -9,11 +9,12 @@ from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .parts import digests_of
+from .parts import digests_of, opened
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -69,5 +70,7 @@ def file_sha256(path: str | Path) -> str:
 
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Per file: name, sha256 and rows (lines that aren't blank). A task streams a file's bytes, however many there are."""
-    files = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
-    return digests_of(files).drop("path")
+    system, at = opened(folder)
+    names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(at)) if i.is_file)
+    listed = spark.createDataFrame([(f"{folder.rstrip('/')}/{n}", n) for n in names], "path string, name string")
+    return digests_of(listed.repartition(max(1, min(len(names), 1000)))).drop("path")

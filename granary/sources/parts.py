@@ -155,17 +155,17 @@ def write_parts(rows: DataFrame, path: str, order: list[str], columns: list[str]
 
 
 def read_parts(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The rows of the parts that the manifest names, with part and ord: together their order."""
+    """The rows of the parts that the manifest names, with part and line (ascending in it): together their order."""
     manifest = read_manifest(path)
     if manifest is None:
         raise FileNotFoundError(f"no manifest in {path}")
     ddl = schema if isinstance(schema, str) else schema.simpleString()
     names = [p["name"] for p in manifest["parts"]]
     if not names:
-        return spark.createDataFrame([], schema).withColumns({"part": F.lit(0), "ord": F.lit(0).cast("long")})
+        return spark.createDataFrame([], schema).withColumns({"part": F.lit(0), "line": F.lit(0).cast("long")})
     places = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "name string, part int")
-    lines = spark.read.text([f"{path.rstrip('/')}/parts/{n}" for n in names]).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.monotonically_increasing_id().alias("ord"))
-    return lines.join(F.broadcast(places), "name").select(F.from_json("value", ddl).alias("row"), "part", "ord").select("row.*", "part", "ord")
+    lines = spark.read.text([f"{path.rstrip('/')}/parts/{n}" for n in names]).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.monotonically_increasing_id().alias("line"))
+    return lines.join(F.broadcast(places), "name").select(F.from_json("value", ddl).alias("row"), "part", "line").select("row.*", "part", "line")
 
 
 def changed_parts(spark: SparkSession, path: str) -> DataFrame:

@@ -27,8 +27,8 @@ def test_parts_are_one_ordered_table(spark, rows, tmp_path):
     assert got == [r.asDict() for r in rows.orderBy("ord").collect()]
     for p in manifest["parts"]:
         assert hashlib.sha256(open(f"{path}/parts/{p['name']}", "rb").read()).hexdigest() == p["sha256"]
-    back = parts.read_parts(spark, path, "ord long, text string").withColumnRenamed("text", "t").orderBy("part").collect()
-    assert sorted(r[0] for r in back) == list(range(100)) and parts.changed_parts(spark, path).count() == 0
+    back = parts.read_parts(spark, path, "ord long, text string").orderBy("part", "line").collect()
+    assert [r.ord for r in back] == list(range(100)) and parts.changed_parts(spark, path).count() == 0
 
 
 def test_a_failed_write_leaves_nothing_visible(spark, rows, tmp_path):
