@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LABEL_NAMES, PROMPT
-from ..sources import files
+from ..sources import files, parts
 from . import stats
 from .curate import SPLITS, contamination, guarded, hash_of, with_labels
 
-COLUMNS = ("cve_id", "cwe_id", "published", "description", "truncated", "prompt", "completion", "is_kev", "split")
+COLUMNS = ["cve_id", "cwe_id", "published", "description", "truncated", "prompt", "completion", "is_kev", "split"]
 
 
 def label_lines(labels: list[str]) -> str:
@@ -80,8 +80,20 @@ def dataset_hash(digests: DataFrame) -> DataFrame:
     return digests.agg(F.sha2(joined, 256).alias("sha256"))
 
 
-def build(population: DataFrame, sampled: DataFrame, labels: list[str], folder: str | Path, settings: dict[str, Any], order: tuple[str, ...] = ("draw_rank", "cve_id")) -> dict[str, Any]:
-    """Writes the splits' files and the manifest, once the guard has found no overlap; returns the manifest."""
+def _written(rows: DataFrame, folder: Path, name: str, order: list[str], in_parts: bool) -> dict[str, Any]:
+    """Writes a split and returns its entry of the manifest."""
+    if in_parts:
+        done = parts.write_parts(rows, str(folder / name), order, COLUMNS)
+        return {"path": name, "rows": done["rows"], "sha256": done["sha256"], "parts": len(done["parts"])}
+    written, digest = files.write_jsonl(rows, folder / name, order, COLUMNS)
+    return {"path": name, "rows": written, "sha256": digest}
+
+
+def build(population: DataFrame, sampled: DataFrame, labels: list[str], folder: str | Path, settings: dict[str, Any], order: tuple[str, ...] = ("draw_rank", "cve_id"), in_parts: bool = False) -> dict[str, Any]:
+    """Writes the splits' files and the manifest, once the guard has found no overlap; returns the manifest.
+
+    A split is one file, streamed through the driver, or with in_parts a folder of parts that tasks write.
+    """
     folder = Path(folder)
     have = [c for c in order if c in sampled.columns]
     out = export_rows(sampled, labels, settings["export"]["max_chars"])
@@ -90,9 +102,7 @@ def build(population: DataFrame, sampled: DataFrame, labels: list[str], folder:
     keyed = sampled.select(F.col("cve_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in have))
     ordered = out.join(keyed, F.col("cve_id") == F.col("_id"))
     for split in SPLITS:
-        path = folder / f"{split}.jsonl"
-        written, digest = files.write_jsonl(ordered.where(F.col("split") == split), path, [f"_{c}" for c in have], COLUMNS)
-        entries[split] = {"path": path.name, "rows": written, "sha256": digest}
+        entries[split] = _written(ordered.where(F.col("split") == split), folder, split if in_parts else f"{split}.jsonl", [f"_{c}" for c in have], in_parts)
     manifest = {
         "version": 2,
         "created_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),
@@ -118,6 +128,14 @@ def verify_files(spark: SparkSession, folder: str | Path, manifest: dict[str, An
     found = {r["name"]: r for r in files.file_digests(spark, str(folder)).where(F.col("name").endswith(".jsonl")).collect()}
     out = []
     for split, entry in manifest["files"].items():
+        if "parts" in entry:
+            path = str(Path(folder) / entry["path"])
+            own = parts.read_manifest(path)
+            if own is None:
+                out.append(f"{split}: no file")
+            elif own["sha256"] != entry["sha256"] or not (changed := parts.changed_parts(spark, path)).isEmpty():
+                out.append(f"{split}: {'digest' if own['sha256'] != entry['sha256'] else ', '.join(sorted({r.problem for r in changed.collect()}))} differ")
+            continue
         row = found.get(entry["path"])
         if row is None:
             out.append(f"{split}: no file")
@@ -135,14 +153,15 @@ def rebuild_split(spark: SparkSession, rows: DataFrame, split: str, folder: str
     changed = [p for p in verify_files(spark, folder, manifest) if not p.startswith((split, "dataset"))]
     if changed:
         raise ValueError(f"frozen files have changed: {changed}")
-    others = [spark.read.json(str(folder / manifest["files"][s]["path"])).select("split", "cve_id", "description") for s in SPLITS if s != split and manifest["files"][s]["rows"]]
+    schema = rows.select("split", "cve_id", "description").schema
+    read = lambda e: parts.read_parts(spark, str(folder / e["path"]), schema) if "parts" in e else spark.read.schema(schema).json(str(folder / e["path"]))
+    others = [read(manifest["files"][s]).select(*schema.names) for s in SPLITS if s != split and manifest["files"][s]["rows"]]
     all_ = rows.select("split", "cve_id", "description")
     for other in others:
         all_ = all_.unionByName(other)
     guarded(all_.select("split", "cve_id", F.monotonically_increasing_id().alias("ord"), hash_of(all_).alias("text_hash")))
-    path = folder / manifest["files"][split]["path"]
-    written, digest = files.write_jsonl(rows, path, ["published", "cve_id"], COLUMNS)
-    manifest["files"][split] |= {"rows": written, "sha256": digest}
+    entry = manifest["files"][split]
+    manifest["files"][split] = _written(rows, folder, entry["path"], ["published", "cve_id"], "parts" in entry)
     manifest["counts"][split] = manifest["files"][split]["rows"]
     manifest["dataset_sha256"] = manifest_hash(manifest["files"])
     manifest["changelog"] = [*manifest.get("changelog", []), f"rebuilt {split}"]

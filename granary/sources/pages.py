@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import importlib
 import json
-import os
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from .parts import opened
+from .shared import stored
 
 _TEXTS = "ARRAY<STRUCT<lang: STRING, value: STRING>>"
 RECORD = (
@@ -63,48 +69,88 @@ def fetch_page(get: Callable[[dict], tuple[int, Any]], params: dict, retries: in
     raise OSError(f"no page after {retries} retries")
 
 
-def _write(path: Path, value: Any) -> None:
-    part = path.with_suffix(".tmp")
-    part.write_text(json.dumps(value, ensure_ascii=False), encoding="utf-8")
-    os.replace(part, path)
-
-
-def fetch_window(get: Callable[[dict], tuple[int, Any]], folder: Path, first: str, last: str, force: bool = False, **retry) -> dict:
-    """All pages of a window, cached as page_%07d.json unless force; returns the window's entry of the manifest."""
-    folder.mkdir(parents=True, exist_ok=True)
-    start = pages = 0
-    while True:
-        path = folder / f"page_{start:07d}.json"
-        if force or not path.exists():
-            _write(path, fetch_page(get, {"first": first, "last": last, "startIndex": start}, **retry))
-        page = json.loads(path.read_text(encoding="utf-8"))
-        pages += 1
-        size, total = len(page.get("vulnerabilities", [])), page.get("totalResults", 0)
-        start += page.get("resultsPerPage", size) or size
-        if start >= total or not size:
-            return {"window": folder.name, "start": first, "end": last, "pages": pages, "total_results": total, "complete": True}
-
-
-def ingest(get: Callable[[dict], tuple[int, Any]], folder: str | Path, windows: list[tuple[str, str]], snapshot: str, force: bool = False, **retry) -> dict:
-    """Fetches every window into its folder; writes and returns the manifest."""
-    folder = Path(folder)
-    done = [fetch_window(get, folder / f"window={first}_{last}", first, last, force, **retry) for first, last in windows]
+def cached_page(folder: str | None, window: str, start: int, fetch: Callable[[], Any], force: bool = False) -> Any:
+    """A page from the folder's window=.../page_%07d.json, fetched and put there whole unless it is there (or with force)."""
+    if folder is None:
+        return fetch()
+    system, at = opened(folder)
+    place = f"{at.rstrip('/')}/window={window}"
+    path = f"{place}/page_{start:07d}.json"
+    if not force and system.get_file_info(path).type == fs.FileType.File:
+        with system.open_input_stream(path) as file:
+            return json.loads(file.read())
+    page = fetch()
+    system.create_dir(place, recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    with system.open_output_stream(part) as out:
+        out.write(json.dumps(page, ensure_ascii=False).encode())
+    system.move(part, path)
+    return page
+
+
+def _size(page: Any) -> int:
+    return len(page.get("vulnerabilities", []))
+
+
+def _fetched(get: Callable[[dict], tuple[int, Any]], folder: str, force: bool, retry: dict):
+    """Rows (first, last, start) to what their pages say: how many records, how many there are in all, and where the next begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                params = {"first": row["first"], "last": row["last"], "startIndex": row["start"]}
+                page = cached_page(folder, f"{row['first']}_{row['last']}", row["start"], lambda: fetch_page(get, params, **retry), force)  # noqa: B023
+                step = page.get("resultsPerPage", _size(page)) or _size(page)
+                yield pa.RecordBatch.from_pylist([row | {"records": _size(page), "total": page.get("totalResults", 0), "step": step}], schema=_PAGES)
+
+    return run
+
+
+_PAGES = pa.schema([("first", pa.string()), ("last", pa.string()), ("start", pa.int64()), ("records", pa.int64()), ("total", pa.int64()), ("step", pa.int64())])
+_PAGES_DDL = "first string, last string, start long, records long, total long, step long"
+
+
+def ingest(spark: SparkSession, get: Callable[[dict], tuple[int, Any]], folder: str | Path, windows: list[tuple[str, str]], snapshot: str, force: bool = False, tasks: int = 8, **retry) -> dict:
+    """Fetches all pages of all windows, at most so many at a time, into their windows' folders; writes and returns the manifest.
+
+    Tasks fetch each window's first page, then, as it says how many there are, all others. Pages that are in the folder aren't
+    fetched again, so an ingest that failed goes on where it was. A window is complete if its pages hold all its records.
+    """
+    folder = str(folder)
+    rows = spark.createDataFrame([(a, b, 0) for a, b in windows], "first string, last string, start long") if windows else spark.createDataFrame([], "first string, last string, start long")
+    fetched = lambda pages: stored(pages.repartition(tasks).mapInArrow(_fetched(get, folder, force, retry), _PAGES_DDL))
+    heads = fetched(rows)
+    others = heads.where("records > 0 AND step > 0 AND step < total").select("first", "last", F.explode(F.sequence("step", F.col("total") - 1, "step")).alias("start"))
+    pages = heads.unionByName(fetched(others))
+    done = pages.groupBy("first", "last").agg(F.count(F.lit(1)).alias("pages"), F.max(F.when(F.col("start") == 0, F.col("total"))).alias("total"), F.sum("records").alias("records"))
+    found = {(r["first"], r["last"]): r for r in done.collect()}  # a row for each window
+    entries = [{"window": f"window={a}_{b}", "start": a, "end": b, "pages": (r := found[a, b])["pages"], "total_results": r["total"], "complete": r["records"] >= r["total"]} for a, b in windows]
     manifest = {
         "snapshot_date": snapshot,
         "start_date": windows[0][0] if windows else None,
         "fetched_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),
-        "windows": done,
-        "total_cves": sum(w["total_results"] for w in done),
+        "windows": entries,
+        "total_cves": sum(w["total_results"] for w in entries),
         "api_key_used": False,
     }
-    _write(folder / "manifest.json", manifest)
+    system, at = opened(folder)
+    system.create_dir(at, recursive=True)
+    with system.open_output_stream(f"{at}/manifest.json.tmp") as out:
+        out.write(json.dumps(manifest, ensure_ascii=False).encode())
+    system.move(f"{at}/manifest.json.tmp", f"{at}/manifest.json")
     return manifest
 
 
 class PagedSource(DataSource):
-    """spark.read.format("record_pages"): a partition for each window, fetched where it runs.
+    """spark.read and spark.readStream .format("record_pages"): pages, fetched by tasks where they run.
 
-    options: windows (JSON list of [first, last]) and client, the dotted path of a function get(params) -> (status, body).
+    Options: windows (JSON list of [first, last]); client, the dotted path of a function get(params) -> (status, body);
+    params (JSON), what each request has besides; pageSize, how many records a page has; tasks, how many fetch at a time; cache, a folder whose pages aren't fetched again;
+    wait and retries, see fetch_page.
+
+    How many pages a window has is asked when a read is planned, by a request for one record. As a stream its offsets are a
+    window's place and a start index. A stream reads windows that its checkpoint doesn't have, so a restart fetches none of the
+    pages before, and with a cache a batch that failed fetches only the pages it lacked; windows may be added at the end.
     """
 
     @classmethod
@@ -115,30 +161,56 @@ class PagedSource(DataSource):
         return "window STRING, start_index INT, body STRING"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _PagedReader(json.loads(self.options["windows"]), self.options["client"])
+        return _PagedReader(dict(self.options))
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return _PagedStream(dict(self.options))
 
-class _PagedReader(DataSourceReader):
-    def __init__(self, windows: list[list[str]], client: str):
-        self.windows, self.client = windows, client
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(w) for w in self.windows]
+class _Pages:
+    """What both readers share; options have lower-case names."""
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
+    def __init__(self, options: dict[str, str]):
+        self.windows = json.loads(options["windows"])
+        self.client, self.folder, self.params = options["client"], options.get("cache"), json.loads(options.get("params", "{}"))
+        self.size, self.tasks = int(options.get("pagesize", 2000)), int(options.get("tasks", 8))
+        self.retry = {"wait": float(options.get("wait", 6)), "retries": int(options.get("retries", 5))}
 
+    def get(self, **params) -> Any:
         module, _, function = self.client.rpartition(".")
-        get = getattr(importlib.import_module(module), function)
-        first, last = partition.value
-        start = 0
-        while True:
-            page = fetch_page(get, {"first": first, "last": last, "startIndex": start})
-            size = len(page.get("vulnerabilities", []))
-            yield f"{first}_{last}", start, json.dumps(page, ensure_ascii=False)
-            start += page.get("resultsPerPage", size) or size
-            if start >= page.get("totalResults", 0) or not size:
-                return
+        return fetch_page(getattr(importlib.import_module(module), function), self.params | params, **self.retry)
+
+    def planned(self, start: tuple[int, int], end: tuple[int, int]) -> list[InputPartition]:
+        """The pages from one window and start index to before another, dealt to so many tasks."""
+        pages = []
+        for place in range(start[0], min(end[0] + 1, len(self.windows))):
+            first, last = self.windows[place]
+            low, high = start[1] if place == start[0] else 0, end[1] if place == end[0] else None
+            if high is None:
+                high = self.get(first=first, last=last, startIndex=0, resultsPerPage=1).get("totalResults", 0)
+            pages += [(first, last, k) for k in range(low, high, self.size)]
+        return [InputPartition(pages[k :: self.tasks]) for k in range(min(self.tasks, len(pages)))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for first, last, start in partition.value:
+            fetch = lambda: self.get(first=first, last=last, startIndex=start, resultsPerPage=self.size)  # noqa: E731, B023
+            yield f"{first}_{last}", start, json.dumps(cached_page(self.folder, f"{first}_{last}", start, fetch), ensure_ascii=False)
+
+
+class _PagedReader(_Pages, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return self.planned((0, 0), (len(self.windows), 0)) or [InputPartition([])]
+
+
+class _PagedStream(_Pages, DataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        return {"window": 0, "start": 0}
+
+    def latestOffset(self) -> dict:
+        return {"window": len(self.windows), "start": 0}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.planned((start["window"], start["start"]), (end["window"], end["start"]))
 
 
 def scan_pages(spark: SparkSession, folder: str, windows: DataFrame | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def pages(spark, tmp_path_factory):
         start = params["startIndex"]
         return 200, {"resultsPerPage": 4, "startIndex": start, "totalResults": len(records), "vulnerabilities": records[start : start + 4]}
 
-    manifest = ingest(get, folder, [("2024-01-01", "2024-04-28")], "2024-12-31")
+    manifest = ingest(spark, get, folder, [("2024-01-01", "2024-04-28")], "2024-12-31")
     assert manifest["total_cves"] == 10 and manifest["windows"][0]["pages"] == 3
     return str(folder)
 
