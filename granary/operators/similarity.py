@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams, excerpt, folded, jaccard, ratio, tokens
+from ..sources.shared import stored
 from .nearest import nearest
+from .stats import exact_percentiles
+
+#: Of the items that one automaton holds, characters together.
+AUTOMATON_CHARS = 4_000_000
 
 
 def terms(text: Column) -> Column:
@@ -32,17 +42,17 @@ def audit_summary(rows: DataFrame) -> DataFrame:
     if rows.isEmpty():
         raise ValueError("an audit needs rows")
     s = F.col("similarity")
-    out = rows.cube("transition").agg(
+    both = stored(rows.select(s, "same_label", F.explode(F.array(F.col("transition"), F.lit("all"))).alias("transition")))
+    counts = both.groupBy("transition").agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile("similarity", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))).alias("p"),
-        F.max("similarity").alias("max"),
         F.count_if(s >= 0.8).alias("high"),
         F.count_if(s >= 0.9).alias("very_high"),
         F.count_if((s >= 0.8) & F.col("same_label")).alias("high_same_label"),
         F.count_if((s >= 0.8) & ~F.col("same_label")).alias("high_other_label"),
     )
     p = [F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95"))]
-    return out.select(F.coalesce("transition", F.lit("all")).alias("transition"), "n", *p, "max", "high", "very_high", "high_same_label", "high_other_label")
+    found = exact_percentiles(both, s, [0.5, 0.9, 0.95], "transition").select("transition", *p, "max")
+    return counts.join(found, "transition").select("transition", "n", "p50", "p90", "p95", "max", "high", "very_high", "high_same_label", "high_other_label")
 
 
 def closest_pairs(rows: DataFrame, most: int = 20, limit: int = 200) -> DataFrame:
@@ -59,19 +69,44 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def _held(found: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for place, text in enumerate(found.value):
+            automaton.add_word(text, place)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, places = [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                here = {place for _, place in automaton.iter(text)} if text else set()
+                ids += [row] * len(here)
+                places += here
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(places, pa.int32())], ["doc_id", "place"])
+
+    return run
+
+
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id: documents that hold an item's whole text.
 
-    An item is filed under its longest word that has a word on either side, so a document that holds the item has that
-    word too; only documents with the word are compared. Items of fewer than three words are compared with all.
+    Items of AUTOMATON_CHARS characters together are an automaton that every task builds from a broadcast list and runs once
+    over each text, whatever the number of items and of their occurrences; more items are as many automatons as that takes,
+    one after another. An empty item is in every text that isn't null; a null one in none.
     """
-    words = lambda c: F.split(c, r"\s+")
-    inner = F.slice(words(F.col("text")), 2, F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    filed = items.select("item_id", F.col("text").alias("item_text"), F.when(F.size(inner) > 0, longest).otherwise("").alias("word"))
-    spread = docs.select("doc_id", F.explode(F.array_distinct(F.array_append(words(F.col("text")), F.lit("")))).alias("word"))
-    pairs = spread.join(filed, "word").select("doc_id", "item_id", "item_text").distinct()
-    return docs.select("doc_id", "text").join(pairs, "doc_id").where(F.contains("text", F.col("item_text"))).select("doc_id", "item_id").distinct()
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    named = stored(items.where("text IS NOT NULL").groupBy("text").agg(F.collect_set("item_id").alias("item_ids")))
+    running = F.sum(F.length("text")).over(Window.orderBy("text").rowsBetween(Window.unboundedPreceding, 0))  # of the items, not the documents
+    grouped = stored(named.where("text <> ''").select("text", "item_ids", F.floor(running / AUTOMATON_CHARS).alias("automaton")))
+    spark = docs.sparkSession
+    out = texts.join(F.broadcast(named.where("text = ''").select("item_ids")), how="cross").select("doc_id", F.explode("item_ids").alias("item_id"))  # one row at most
+    for (number,) in sorted(grouped.select("automaton").distinct().collect()):
+        listed = [r.text for r in grouped.where(F.col("automaton") == number).select("text").collect()]
+        found = texts.mapInArrow(_held(spark.sparkContext.broadcast(listed)), f"doc_id {kind}, place int").distinct()
+        names = spark.createDataFrame(pa.table({"place": pa.array(range(len(listed)), pa.int32()), "text": listed}))
+        ids = names.join(grouped, "text").select("place", F.explode("item_ids").alias("item_id"))
+        out = out.unionByName(found.join(F.broadcast(ids), "place").select("doc_id", "item_id"))
+    return out.distinct()
 
 
 __all__ = ["audit_summary", "closest_pairs", "containment", "dense_cosine", "nearest", "terms", "tfidf"]
