@@ -30,11 +30,20 @@ def normalized(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def normalized_nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC, lower case, white space collapsed and stripped."""
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).lower().split()))
 
 
+def normalized_nfkc(text: Column | str) -> Column:
+    """NFKC, lower case, white space collapsed and stripped.
+
+    Text of ASCII characters is in that form already and stays in the JVM; only other texts are sent to a worker.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    plain = text.rlike(r"\A[\x00-\x7f]*\z")
+    return F.coalesce(_composed(F.when(~plain, text)), normalized(text))
+
+
 @F.pandas_udf(T.StringType())
 def casefolded(texts: pd.Series) -> pd.Series:
     """Case-folded, white space collapsed and stripped."""

@@ -1,12 +1,13 @@
 """Percentiles by counts, texts that hold items, budgets, reports and case folding against plain Python."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions.text import casefolded
+from granary.functions.text import casefolded, normalized_nfkc
 from granary.operators import export, similarity, stats
 
 
@@ -68,3 +69,11 @@ def test_dataset_report(spark):
     assert train["p50"] == int(np.quantile(lengths, 0.5)) and train["max"] == max(lengths)
     assert {(r["split"], r["cwe_id"]): r["n"] for r in value["Population by class"]} == {k: sum((r[9], r[2]) == k and r[10] for r in rows) for k in {(r[9], r[2]) for r in rows if r[10]}}
     assert text.startswith("# Dataset report\n") and text.count("\n## ") == 10 and "| split |" in text
+
+
+def test_normal_form_of_any_text(spark):
+    draw = random.Random(2)
+    pools = [range(32, 127), [*range(0, 32), 32, 127], range(0xA0, 0x250), [0xFF21, 0x3000, 0xFB01, 0x1E9E, 0x130, 0x2028, 0xA0, 0x1680, 65, 97, 32], range(0x1F600, 0x1F650)]
+    texts = ["", None, " ", "\x1c a \x1f"] + ["".join(chr(draw.choice(pools[draw.choice([0, 0, k % 5])])) for _ in range(draw.randint(1, 40))) for k in range(400)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", normalized_nfkc("t").alias("f")).collect()
+    assert {r.i: r.f for r in got} == {i: None if t is None else " ".join(unicodedata.normalize("NFKC", t).lower().split()) for i, t in enumerate(texts)}
