@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,15 +114,17 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Host rules as the contract gives them.
 HOST_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-#: Words that filter lists hold, each in SHAPES; and hosts of a generated list, most of which no page names.
+#: Words that filter lists hold, each in SHAPES, where it is a whole token: as the first or a later part of a host's label, a
+#: folder, a query's key or value. Exceptions let pass what one of them would block.
 TERMS = "ad ads adserver adult affiliate banner bets betting bonus cash casino cheap click clickbait counter coupon dating deals doorway farm free loan lottery pills pixel poker popup promo replica slots spam sponsor sweepstakes track tracker tracking viagra warez win xxx".split()
-SHAPES = ["||{}.", "||{}-", "-{}.", "/{}/", "||www.{}*."]
-LISTED = 4000
+SHAPES = ["||{}.", "||{}-", "-{}.", "/{}/", "?{}=", "&{}=", "={}|", "={}&"]
+EXCEPTIONS = ["||ads-track.*/en/*.html|", "||ads-track.*page=2&", "/ads/policy|"]
+BLOCKED = ["||blog.*utm_source=feed|", "||m.*/de/*#top|"]
 URL_RULES = [
     *(url_filter.Rule(text, action) for text, action in HOST_RULES),
     *(url_filter.Rule(shape.format(term), "block", pattern=True) for term in TERMS for shape in SHAPES),
-    url_filter.Rule("/ads/policy|", "allow", pattern=True),
-    *(url_filter.Rule(f"||listed{i}.test^", "block", pattern=True) for i in range(LISTED)),
+    *(url_filter.Rule(text, "block", pattern=True) for text in BLOCKED),
+    *(url_filter.Rule(text, "allow", pattern=True) for text in EXCEPTIONS),
 ]
 
 
@@ -129,14 +133,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _like(rule: str) -> str:
+    """A rule's regular expression in the other engine's words; none of these rules has a ^."""
+    body, head, end = rule, "", rule.endswith("|")
+    if body.startswith("||"):
+        body, head = body[2:], r"\A[^/]*://([^/?#]*\.)?"
+    pieces = [re.sub(r"[.?]", lambda m: "\\" + m[0], p) for p in body.removesuffix("|").split("*")]
+    return head + ".*".join(pieces) + (r"\z" if end else "")
+
+
 def _patterns_sql() -> str:
-    """The first pattern that fits, by length, then order; allowing ones first."""
-    forms = {"||{}.": r"\A[^/]*://([^/?#]*\.)?{}\.", "||{}-": r"\A[^/]*://([^/?#]*\.)?{}-", "-{}.": r"-{}\.", "/{}/": "/{}/", "||www.{}*.": r"\A[^/]*://([^/?#]*\.)?www\.{}.*\."}
-    rules = [(shape.format(term), forms[shape].format(term)) for term in TERMS for shape in SHAPES]
-    found = [f"WHEN regexp_matches(low, '(?s){regex}') THEN '{rule}'" for rule, regex in sorted(rules, key=lambda r: -len(r[0]))]
-    listed = r"regexp_extract(low, '(?s)\A[^/]*://(?:[^/?#]*\.)?(listed(0|[1-9][0-9]*)\.test)(?:[^0-9a-z_.%-]|\z)', {})"
-    first = f"WHEN try_cast({listed.format(2)} AS INTEGER) < {LISTED} THEN '||' || {listed.format(1)} || '^'"
-    return "CASE WHEN low LIKE '%/ads/policy' THEN '/ads/policy|' " + " ".join([first, *found]) + " END"
+    """The pattern that decides: the longest of the allowing ones that fit, else of the blocking ones, ties to the first."""
+    case = lambda rules: " ".join(f"WHEN regexp_matches(low, '(?s){_like(r)}') THEN '{r}'" for r in sorted(rules, key=lambda r: -len(r)))
+    return f"CASE {case(EXCEPTIONS)} {case([*(shape.format(term) for term in TERMS for shape in SHAPES), *BLOCKED])} END"
 
 
 OP8_SQL = r"""
@@ -158,26 +167,38 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN pattern = '/ads/policy|' OR pattern IS NULL THEN 'allow' ELSE 'block' END AS verdict,
+    WHEN pattern IN (EXCEPTIONS) OR pattern IS NULL THEN 'allow' ELSE 'block' END AS verdict,
   CASE WHEN rule IS NULL THEN pattern END AS pattern
 FROM fits
-""".replace("PATTERNS", _patterns_sql())
+""".replace("PATTERNS", _patterns_sql()).replace("EXCEPTIONS", ", ".join(f"'{r}'" for r in EXCEPTIONS))
 
 # 9: not-modified revisits
 
+#: Seconds between changes of a section's content.
+VERSION = 400_000
+
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Each page as a full response and as a revisit of its URL: times, validators and headers set by its id and html."""
+    """Each page as a full response and a revisit of its section (scheme, host and first folder of its url).
+
+    So records share URLs, as captures of an archive do. Times are set by page_id, to ten minutes; a section's content, and
+    with it its entity tag, modification date and digest, changes every VERSION seconds. Some records lack validators.
+    """
     p = F.col("page_id")
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
-    heads = lambda kind: F.create_map(F.lit("Content-Type"), F.lit("text/html" if kind == "response" else "text/plain"), F.lit("Date"), F.concat(F.lit(kind), p.cast("string")), F.lit("ETag"), tag)
+    section = F.regexp_extract("url", r"(?s)\A[^/]*//[^/]*/[^/?#]*", 0)
+    at = F.floor(p * 7919 % 2_000_000 / 600) * 600
+    again = at + p * 53 % 300_000 - 20_000
+    version = lambda ts: F.floor(ts / VERSION).cast("string")
+    digest = lambda ts: F.md5(F.concat_ws(" ", section, version(ts)).cast("binary"))
+    tag = lambda ts: F.concat(F.lit('"'), digest(ts), F.lit('"'))
+    heads = lambda kind, ts: F.create_map(F.lit("Content-Type"), F.lit("text/html" if kind == "response" else "text/plain"), F.lit("Date"), F.concat(F.lit(kind), p.cast("string")), F.lit("ETag"), tag(ts))
     response = pages.select(
-        (2 * p).alias("record_id"), "url", (p * 7919 % 2_000_000).alias("ts"), F.lit("response").alias("kind"),
-        F.when(p % 4 != 0, tag).alias("etag"), F.when(p % 8 != 4, p.cast("string")).alias("last_modified"), F.lit(None).cast("string").alias("digest"), heads("response").alias("headers"),
+        (2 * p).alias("record_id"), section.alias("url"), at.alias("ts"), F.lit("response").alias("kind"),
+        F.when(p % 4 != 0, tag(at)).alias("etag"), F.when(p % 8 != 4, version(at)).alias("last_modified"), F.when(p % 16 != 12, digest(at)).alias("digest"), heads("response", at).alias("headers"),
     )
     revisit = pages.select(
-        (2 * p + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (p * 7919 % 2_000_000 + p * 53 % 300_000 - 20_000).alias("ts"), F.lit("revisit").alias("kind"),
-        F.when(p % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag)).alias("etag"), p.cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"), heads("revisit").alias("headers"),
+        (2 * p + 1).alias("record_id"), F.concat(section, F.lit("#again")).alias("url"), again.alias("ts"), F.lit("revisit").alias("kind"),
+        F.when(p % 7 == 0, F.lit('"other"')).when(p % 11 != 0, F.concat(F.lit("W/"), tag(again))).alias("etag"), F.when(p % 9 != 0, version(again)).alias("last_modified"), digest(again).alias("digest"), heads("revisit", again).alias("headers"),
     )
     return response.unionByName(revisit)
 
@@ -190,22 +211,27 @@ def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH p AS (
-  SELECT page_id, '"' || md5(coalesce(html, '')) || '"' AS tag, page_id * 7919 % 2000000 AS ts, regexp_replace(url, '(?s)#.*', '') AS plain FROM pages
+  SELECT page_id, regexp_extract(url, '(?s)\A[^/]*//[^/]*/[^/?#]*') AS section, CAST(floor(page_id * 7919 % 2000000 / 600) AS BIGINT) * 600 AS seen FROM pages
 ), k AS (
-  SELECT *, lower(regexp_extract(plain, '(?s)\A([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || CASE WHEN starts_with(regexp_extract(plain, '(?s)\A[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)', 1), '/') THEN '' ELSE '/' END
-    || regexp_extract(plain, '(?s)\A[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)', 1) AS url_key FROM p
+  SELECT *, seen + page_id * 53 % 300000 - 20000 AS again, regexp_extract(section, '(?s)\A[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)', 1) AS rest FROM p
+), u AS (
+  SELECT *, CASE WHEN regexp_matches(section, '(?s)\A[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(section, '(?s)\A([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || CASE WHEN starts_with(rest, '/') THEN '' ELSE '/' END || rest ELSE section END AS url_key FROM k
 ), response AS (
-  SELECT 2 * page_id AS id, url_key, ts, page_id, CASE WHEN page_id % 4 <> 0 THEN tag END AS etag, CASE WHEN page_id % 8 <> 4 THEN page_id::VARCHAR END AS modified, tag FROM k
+  SELECT 2 * page_id AS id, url_key, seen AS ts, md5(concat_ws(' ', section, CAST(floor(seen / 400000) AS BIGINT))) AS digest, CAST(floor(seen / 400000) AS BIGINT)::VARCHAR AS modified, page_id FROM u
 ), revisit AS (
-  SELECT 2 * page_id + 1 AS id, url_key, ts + page_id * 53 % 300000 - 20000 AS ts, page_id, CASE WHEN page_id % 7 = 0 THEN '"other"' ELSE tag END AS etag, page_id::VARCHAR AS modified, tag FROM k
+  SELECT 2 * page_id + 1 AS id, url_key, again AS ts, md5(concat_ws(' ', section, CAST(floor(again / 400000) AS BIGINT))) AS digest, CAST(floor(again / 400000) AS BIGINT)::VARCHAR AS modified, page_id FROM u
 ), found AS (
-  SELECT v.*, r.id AS response_id, r.page_id AS rp, r.tag AS rtag, CASE WHEN r.etag IS NOT NULL THEN r.etag = v.etag WHEN r.modified IS NOT NULL THEN r.modified = v.modified END AS same,
+  SELECT v.*, r.id AS response_id, CASE
+      WHEN r.id IS NULL THEN NULL
+      WHEN r.page_id % 4 <> 0 AND (v.page_id % 7 = 0 OR v.page_id % 11 <> 0) THEN v.page_id % 7 <> 0 AND r.digest = v.digest
+      WHEN r.page_id % 8 <> 4 AND v.page_id % 9 <> 0 THEN r.modified = v.modified
+      WHEN r.page_id % 16 <> 12 THEN r.digest = v.digest END AS same,
     row_number() OVER (PARTITION BY v.id ORDER BY r.ts DESC NULLS LAST, r.id DESC) AS n
   FROM revisit v LEFT JOIN response r ON r.url_key = v.url_key AND r.ts < v.ts
 )
 SELECT id AS record_id, url_key, response_id,
   CASE WHEN response_id IS NULL THEN 'no_earlier_response' WHEN same IS NULL THEN 'no_validator' WHEN same THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
-  'content-type=' || CASE WHEN same THEN 'text/html' ELSE 'text/plain' END || ';date=revisit' || page_id || ';etag=' || tag AS headers
+  'content-type=' || CASE WHEN same THEN 'text/html' ELSE 'text/plain' END || ';date=revisit' || page_id || ';etag="' || digest || '"' AS headers
 FROM found WHERE n = 1
 """
 
