@@ -7,6 +7,7 @@ import json
 from pathlib import Path
 from typing import Any
 
+#: What a run without settings of its own goes by.
 DEFAULTS: dict[str, Any] = {
     "seed": 42,
     "snapshot_date": "2026-09-17",
