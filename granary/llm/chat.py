@@ -5,7 +5,8 @@ gathered across conversations, and no key is shared between them.
 
 Order of turns: by turn, null turns last, then by role and text, so ties and repeated rows have one order. A null role
 or text is empty; a role without markers of its own is written by name. Rows with a null conv_id form one conversation.
-Columns beyond conv_id, turn, role and text are not read, so their names can't clash. An empty table gives no rows.
+Texts are written whole, whatever their length; a
+conversation is one row, so it has to fit a task. Columns beyond conv_id, turn, role and text are not read, so their names can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ the model. Texts are then scored against the HEAD most frequent words and grams,
 text holds besides goes, with a row number, through an exact join with all words or grams. Nothing is cut off.
 
 A null or empty text has no words, one end, and score 0. A null id counts as an empty text for the fold. Repeated rows
-each count and each get a result. Only doc_id and text are read. An empty table gives no rows; with no training text
+each count and each get a result. Texts are learned and scored whole; one longer than a megabyte is held alone. Only doc_id and text are read. An empty table gives no rows; with no training text
 all counts are 0. Words and grams are 64-bit keys; grams exactly, words by a hash (see arrays).
 """
 

@@ -9,7 +9,8 @@ more, so a hot source has more shards, no task holds more than a shard, and a so
 each block q div m times and the q mod m blocks from a seeded one on, once more. That is interval arithmetic on the
 running word count: no row per block.
 
-A null text has no words and is taken 0 words of. A null source is a source, the last. The seeded order goes
+A run of blocks, not single ones here and there, so that few texts are cut. A text longer than a shard's share is cut like
+others. A null text has no words and is taken 0 words of. A null source is a source, the last. The seeded order goes
 by id and text, so rows of one id, or of none, are spread like others; repeated rows are documents of their own, and
 stand side by side. An empty table gives no rows. Columns that aren't named by keep are not read.
 """

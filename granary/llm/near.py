@@ -14,7 +14,8 @@ linked to. Bands, blocks and rounds decide only where a pair is compared; no par
 A band misses a pair at similarity 0.8 with probability 1 - 0.8 ** 4, all 24 with 0.59 ** 24 = 3e-6.
 
 A text without words (null, empty) links to nothing. A null id takes part but never names a class, so a class of null
-ids alone has a null name. Repeated rows are copies of each other. Other columns are not read. An empty table gives no
+ids alone has a null name. Texts are read whole, whatever their length; a pair takes both sets in one task. Names go to the
+least id, then the least hash of the text. Repeated rows are copies of each other. Other columns are not read. An empty table gives no
 rows.
 """
 

@@ -9,7 +9,8 @@ Learning sees at most SAMPLE labelled rows (those of the lowest hash of their id
 A null or empty text has no words; its shares are 0. Rows with a null id or a null label teach nothing; an id labelled
 twice counts once, with its lower label, and one that several texts share counts once, with its lowest statistics.
 Without labels the list is empty and only the base rule rejects. Columns that aren't named are not read by
-`text_stats`, except those the caller asks to keep. Repeated rows each get a result; an empty table gives no rows.
+`text_stats`, except those the caller asks to keep. Texts are measured whole; one longer than a megabyte is held alone.
+Equal gains go to the first statistic and the lowest threshold. Repeated rows each get a result; an empty table gives no rows.
 """
 
 from __future__ import annotations

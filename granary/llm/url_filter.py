@@ -9,7 +9,7 @@ shuffle, where adaptive execution splits a hot token. Judgements of URLs that so
 to the rows by URL: both sides of that join are plain exchanges, so a URL that many rows share, or none, can be split.
 
 A null URL, or one without ://, has an empty host and path and meets no host rule; patterns see a null as empty.
-Columns beyond page_id and url are not read. Repeated rows each get their own result; an empty table gives no rows.
+Long URLs are read whole, and a pattern takes time in proportion to their length. Columns beyond page_id and url are not read. Repeated rows each get their own result; an empty table gives no rows.
 """
 
 from __future__ import annotations

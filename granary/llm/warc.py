@@ -4,9 +4,9 @@ A revisit record (a 304 answer) stands for the payload of a response that came b
 response of its canonical URL with an earlier time, of several at one time the one of the highest id, if their
 validators agree; the response's headers are then updated by those of the revisit that a 304 may carry.
 
-The join is two window steps, no key's rows meet in one task: within a URL and a bucket of time the latest earlier
-response is a running maximum, and from earlier buckets it is one over a row per bucket. So a URL with a third of all
-rows is as many tasks as it has buckets.
+The join is two window steps: within a URL and a bucket of time (a day) the latest earlier response is a running maximum,
+and from earlier buckets it is one over a row per bucket. So a URL with a third of all rows is as many tasks as it has
+buckets; rows without a URL or a time, which nothing can resolve, take no part in the steps. Headers go along whole.
 
 Records have record_id, url, ts (long), kind (`response` or `revisit`), etag, last_modified, digest and headers (a map);
 other columns are not read. A null url or time has no earlier response and is none. Null validators are absent; null
@@ -60,16 +60,19 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), (F.col("kind") == "response").alias("full"), F.col("kind").alias("kind"),
         F.regexp_replace("etag", r"\AW/", "").alias("etag"), "last_modified", "digest", _entries(F.col("headers")).alias("headers"),
     ).withColumn("bucket", F.floor(F.col("ts") / bucket))
-    usable = F.col("full") & F.col("ts").isNotNull() & F.col("url_key").isNotNull()
+    usable = F.col("full")
     state = F.when(usable, F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
     within = Window.partitionBy("url_key", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    inside = row.withColumn("near", F.max(state).over(within)).where("kind = 'revisit'")
-    last = row.where(usable).groupBy("url_key", "bucket").agg(F.max(state).alias("last"))
+    keyed = row.where("url_key IS NOT NULL AND ts IS NOT NULL")
+    inside = keyed.withColumn("near", F.max(state).over(within)).where("kind = 'revisit'")
+    last = keyed.where(usable).groupBy("url_key", "bucket").agg(F.max(state).alias("last"))
     # a row for each bucket with a response, and for each with a revisit
-    asked = row.where("kind = 'revisit'").select("url_key", "bucket").distinct().join(last, ["url_key", "bucket"], "full_outer")
+    asked = keyed.where("kind = 'revisit'").select("url_key", "bucket").distinct().join(last, ["url_key", "bucket"], "full_outer")
     before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     earlier = asked.select("url_key", "bucket", F.max("last").over(before).alias("far"))
-    found = inside.join(earlier, ["url_key", "bucket"], "left").withColumn("found", F.when(F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.coalesce("near", "far")))
+    found = inside.join(earlier, ["url_key", "bucket"], "left").select(*row.columns, F.coalesce("near", "far").alias("found"))
+    alone = row.where("kind = 'revisit' AND (url_key IS NULL OR ts IS NULL)")
+    found = found.unionByName(alone.withColumn("found", F.lit(None).cast(found.schema["found"].dataType)))
     same = F.lit(None).cast("boolean")
     for name in ("digest", "last_modified", "etag"):
         same = F.when(F.col(name).isNotNull() & F.col(f"found.{name}").isNotNull(), F.col(name) == F.col(f"found.{name}")).otherwise(same)

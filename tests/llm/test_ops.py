@@ -54,6 +54,10 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in got[2].turns] == [("tool</s>", "<s>"), ("tool</s>", "<s>"), ("", "")] and not got[2].valid and got[2].refused_turn == 0
     assert got[3].valid and got[None].refused_turn == 0
     assert chat.format_chats(table.limit(0)).count() == 0
+    long = [(1, k, "user" if k % 2 == 0 else "assistant", f"</s>{k} " * 60_000) for k in range(4)]
+    done = chat.format_chats(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))
+    got = done.select(chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("learnt")).first()
+    assert [t.text for t in got.turns] == [t for *_, t in long] and got.learnt == long[1][3] + long[3][3]
 
 
 def test_template_rejects_overlaps():
@@ -176,6 +180,8 @@ def test_apportionment_is_by_highest_quotients():
 
 
 def test_mixing(spark, docs):
+    clashing = docs.withColumns({"mix_parts": F.lit("clash"), "mix_size": F.lit(1), "shard": F.lit(2)})
+    assert mixing.mixed_texts(clashing).columns == clashing.columns and mixing.mixed_texts(clashing).count() > 0
     got = mixing.mix(docs).toPandas()
     sizes = Counter()
     for r in docs.collect():
@@ -427,3 +433,7 @@ def test_warc_revisits(spark):
     merged = {r.record_id: {h.key: h.value for h in r.headers} for r in out}
     assert merged[4] == {"content-type": "text/html", "date": "d4"} and merged[5] == {"date": "d5"}
     assert warc.resolve_revisits(table.limit(0)).count() == 0
+    long = {f"X-{k}": "v" * 5000 for k in range(200)}
+    many = [(k, "http://b.org/", k // 2, "response", f'"{k}"', None, None, long) for k in range(300)] + [(1000 + k, "http://b.org/", k, "revisit", f'"{2 * k - 1}"', None, None, {"Date": "now"}) for k in range(1, 150)]
+    out = warc.resolve_revisits(spark.createDataFrame(many, table.drop("near").schema), bucket=40).collect()
+    assert {(r.record_id, r.response_id, r.outcome, len(r.headers)) for r in out} == {(1000 + k, 2 * k - 1, "resolved", 201) for k in range(1, 150)}
