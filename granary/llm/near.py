@@ -35,6 +35,8 @@ from .lineage import free_prefix, stored
 
 WIDTH, BANDS, ROWS, ROUND, TOLERANCE, BLOCK = 5, 24, 4, 16, 1e-6, 1024
 HASHES = BANDS * ROWS
+#: Pairs whose values a task compares at a time, with some 200 bytes each.
+PAIRS = 1 << 17
 #: Hash positions that mark which texts are needed again: the broadcast table of them has at most so many rows.
 POSITIONS = 1 << 20
 
@@ -124,7 +126,7 @@ def surviving(signs: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[tuple
     return a, b
 
 
-def _pairs(bounds: np.ndarray, side: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(bounds: np.ndarray, side: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs i < j of each group, about `most` at a time; of a group of two sides only those across."""
     size = np.diff(bounds)
     after = np.repeat(bounds[1:], size) - np.arange(bounds[-1]) - 1  # partners behind each member, in its group
