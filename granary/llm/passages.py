@@ -52,6 +52,8 @@ MOVED = 11
 AROUND = LEAST - 1 + MOVED
 #: Windows of a key in a block; two blocks meet in a task, with 4 * (2 * AROUND + 1) bytes a window.
 BLOCK = 8192
+#: Pairs of windows compared at a time, with a few kB each.
+PAIRS = 1 << 12
 #: Bits of the bitmap of repeated keys, and hash positions that mark which texts are needed again.
 BITS, POSITIONS = 1 << 26, 1 << 20
 #: Texts with copies that are looked up in a broadcast table.
@@ -407,13 +409,13 @@ def _open_pairs(bounds: np.ndarray, covered: np.ndarray, labels) -> Iterator[tup
         active = np.flatnonzero((upto < np.arange(len(group))) & (~covered | several[group]))
         if not len(active):
             return
-        for i in range(0, len(active), max(1, (1 << 15) // width)):
-            b = active[i : i + max(1, (1 << 15) // width)]
+        for i in range(0, len(active), max(1, PAIRS // width)):
+            b = active[i : i + max(1, PAIRS // width)]
             n = np.minimum(width, b - upto[b])
             a = np.repeat(upto[b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             upto[b] += n
             yield a, np.repeat(b, n)
-        width = min(4 * width, 1 << 13)
+        width = min(4 * width, PAIRS)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
