@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once, strip, text_hash
+from ..sources.shared import stored
 from .verify import json_reader
 
 ID = r"\ACVE-[0-9]{4}-[0-9]{4,}\z"
@@ -134,6 +135,7 @@ def validate(lines: DataFrame, line: str = "value", nfkc: bool = False) -> DataF
 
 def validation_summary(checked: DataFrame, order: str = "ord", examples: int = 20) -> dict:
     """rows, invalid, problems_by_type (by the part before a colon) and the first examples in order."""
+    checked = stored(checked.select(order, "cve_id", "problems"))  # once, for three passes
     bad = checked.where(F.size("problems") > 0)
     counts = bad.select(F.explode("problems").alias("p")).groupBy(F.split_part("p", F.lit(":"), F.lit(1)).alias("type")).count().orderBy("type").collect()
     total = checked.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("problems") > 0).alias("invalid")).first()

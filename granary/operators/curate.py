@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_hash
+from ..sources.shared import stored
 
 SPLITS = ("train", "val", "test")
 
@@ -98,10 +99,10 @@ def curated(population: DataFrame, dedup: dict[str, bool]) -> DataFrame:
 def hash_of(rows: DataFrame) -> Column:
     """The stored content hash, else that of the description; an error where a row has neither."""
     names = set(rows.columns)
-    stored = F.col("description_norm_hash") if "description_norm_hash" in names else F.lit(None).cast("string")
+    known = F.col("description_norm_hash") if "description_norm_hash" in names else F.lit(None).cast("string")
     text = "description_en" if "description_en" in names else "description" if "description" in names else None
     fallback = text_hash(F.col(text)) if text else F.lit(None).cast("string")
-    value = F.coalesce(stored, fallback)
+    value = F.coalesce(known, fallback)
     return F.when(value.isNull(), F.raise_error(F.lit("a row has neither a content hash nor a description"))).otherwise(value)
 
 
@@ -118,11 +119,10 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
 def guard(rows: DataFrame, examples: int = 5) -> dict[str, Any]:
     """Per pair of splits the number of shared ids and contents, with a few shared contents; ok if there is none."""
-    shared = shared_keys(rows).cache()
+    shared = stored(shared_keys(rows))
     counts = {(r["left"], r["right"], r["kind"]): r["count"] for r in shared.groupBy("left", "right", "kind").count().collect()}
     place = F.row_number().over(Window.partitionBy("left", "right").orderBy("key"))
     few = shared.where("kind = 'text_hash'").withColumn("_place", place).where(F.col("_place") <= examples).orderBy("key").collect()
-    shared.unpersist()
     pairs = {}
     for a, b in combinations(SPLITS, 2):
         pairs[f"{a}_{b}"] = {

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import INVALID_FLAGS
+from ..sources.shared import stored
 from ..functions.text import ratio
 
 INVALID = "INVALID"
@@ -77,7 +78,8 @@ def slices(rows: DataFrame) -> DataFrame:
 
 
 def compute(rows: DataFrame, labels: list[str]) -> dict[str, Any]:
-    """All metrics as one document; rows are read several times, so cache what is costly."""
+    """All metrics as one document; the columns it takes are stored once and read several times."""
+    rows = stored(rows.select("gold", "pred", "valid_label", "exact_match", "error_flags", "is_kev"))
     classes = per_class(rows, labels)
     listed = [*labels, INVALID]
     cells = {(r["gold"], r["pred"]): r["n"] for r in confusion(rows, labels).collect()}

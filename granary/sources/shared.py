@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(spark: SparkSession) -> None:
     """Deletes what this application has stored; for when no table built on it is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _STORED:
-        at = path(_STORED.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, _STORED)
+    _STORED.clear()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -43,3 +48,13 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """stored(make()), without the tables that were stored on the way to it; make must not hand out others of those."""
+    first = len(_STORED)
+    done = stored(make())
+    on_the_way = _STORED[first:-1]
+    del _STORED[first:-1]
+    _delete(spark, on_the_way)
+    return done
