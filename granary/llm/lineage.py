@@ -2,40 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-#: Folders of the tables stored so far.
-_STORED: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one, set once, only in local mode where none is named.
-
-    On a cluster executors don't share local folders, so there a session without the setting is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        local = tempfile.mkdtemp(prefix="granary-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(local)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def dropped(spark: SparkSession) -> None:
-    """Deletes what this application has stored; for when no table built on it is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _STORED:
-        at = path(_STORED.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+from ..sources.shared import dropped, shared_folder, stored, stored_alone
 
 
 def free_prefix(df: DataFrame) -> str:
@@ -46,9 +15,4 @@ def free_prefix(df: DataFrame) -> str:
     return prefix
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/granary-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STORED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["dropped", "free_prefix", "shared_folder", "stored", "stored_alone"]
