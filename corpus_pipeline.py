@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import bpe, mixing, near, passages, quality
-from granary.llm.lineage import stored
+from granary.llm.lineage import stored, stored_alone
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; between stages the rows are written to the shared folder and read again."""
+    """All stages over the documents table; between stages the rows are written to the shared folder and read again.
+
+    What a stage stores on its way is deleted once its rows are written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored_alone(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
+    return STAGES[-1][1](spark, docs, sf_dir)
