@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .lineage import stored
 
+#: Rows of a file that a round of `components` writes, at the least.
+FILE_ROWS = 1 << 14
+
 
 def label_pairs(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of n members the least member of its component under the links a - b."""
@@ -31,16 +34,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round gives every node the least label among its neighbours and itself, then the label's own label, so the
     number of rounds grows with the logarithm of a component's width in practice. Rounds are written to the shared
-    folder. Minima are combined before each shuffle; a node with very many links is a skewed join with one row on the
-    other side, which adaptive execution splits.
+    folder, in files of about FILE_ROWS rows or more, so that few links aren't as many files as a shuffle has partitions.
+    Minima are combined before each shuffle; a node with very many links is a skewed join with one row on the other side,
+    which adaptive execution splits.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    files = max(1, -(-both.count() // FILE_ROWS))
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(files))
     while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("seen"))
         near = labels.join(seen, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         far = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = stored(near.join(far, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", "further").alias("label")))
+        new = stored(near.join(far, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", "further").alias("label")).coalesce(files))
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels
