@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
 #: Of an Arrow batch between Spark and a worker: about the most bytes, or one longer row.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _P = 0x9E3779B97F4A7C15
 _MULTIPLIERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
 
