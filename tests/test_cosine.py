@@ -52,3 +52,9 @@ def test_texts_of_documents_with_several_labels(spark, tmp_path):
     for labels, want in (([1, 2], [0, 1, 2, 3]), ([1, 1, 2], [0, 1, 1, 2, 3])):
         spark.createDataFrame([(k, 1, 0) for k in labels], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
         assert sorted(r.ord for r in evaluation._texts(spark, str(tmp_path)).collect()) == want
+
+
+def test_closest_pairs_move_no_other_texts(spark):
+    """Texts meet the twenty pairs by broadcasts, so no text is shuffled or sorted."""
+    plan = __spark_entry__.queries()["closest_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
