@@ -36,7 +36,7 @@ def stored_rows(spark, monkeypatch, run) -> int:
     return sum(t.count() for t in kept)
 
 
-@pytest.mark.parametrize("name", ["tfidf_nearest"])
+@pytest.mark.parametrize("name", ["tfidf_nearest", "audit_summary"])
 def test_no_row_for_each_term_is_stored(spark, monkeypatch, name):
     """Terms travel packed: what is stored has a row a text and one a block, not one for each term of a text."""
     sf = "/root/testdata/sf0.001"
