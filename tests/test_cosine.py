@@ -1,12 +1,15 @@
 """Nearest rows by packed blocks: several blocks and ranges, and what is written on the way."""
 
 from collections import Counter
+from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
-from granary.operators import cosine, nearest
+from granary.operators import cosine, nearest, similarity
+from granary.plans import evaluation
 
 from .test_nearest import brute
 
@@ -58,3 +61,63 @@ def test_closest_pairs_move_no_other_texts(spark):
     """Texts meet the twenty pairs by broadcasts, so no text is shuffled or sorted."""
     plan = __spark_entry__.queries()["closest_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_an_audit_makes_its_rows_once(spark, tmp_path):
+    """Whether there are rows is asked of the stored ones, so nearest rows are not sought twice."""
+
+    def marked(batches):
+        (tmp_path / uuid4().hex).touch()
+        yield from batches
+
+    rows = spark.createDataFrame([(k / 10, k % 2 == 0, "both_right") for k in range(10)], "similarity double, same_label boolean, transition string").repartition(2)
+    similarity.audit_summary(rows.mapInArrow(marked, rows.schema)).collect()
+    assert len(list(tmp_path.iterdir())) == 2  # a mark for each of two partitions
+    with pytest.raises(ValueError, match="needs rows"):
+        similarity.audit_summary(rows.where("similarity > 1"))
+
+
+def test_an_audit_reads_outputs_of_its_queries_only(spark, monkeypatch):
+    """Only the test split asks, so only its outputs are verified."""
+    seen = []
+    whole = evaluation.verified
+    monkeypatch.setattr(evaluation, "verified", lambda rows, *a: seen.append(rows) or whole(rows, *a))
+    sf = "/root/testdata/sf0.001"
+    __spark_entry__.queries()["audit_summary"](spark, sf)
+    want = evaluation.records(spark, sf).where("split = 'test'").count()
+    assert [rows.count() for rows in seen] == [want, want]
+
+
+def test_products_of_many_copies(monkeypatch):
+    """Sums over postings stay in double precision, however many steps they take."""
+    for name, value in {"DENSE": 32, "SLAB": 16, "STRIPE": 4, "EXPANDED": 1}.items():
+        monkeypatch.setattr(cosine, name, value)
+    n, terms = 9, 4_000
+    unit = np.tile(np.arange(32, 32 + terms), (n, 1)).T.ravel()
+    block = lambda: cosine.Block(np.arange(n), np.arange(n), unit, np.tile(np.arange(n), terms), np.full(n * terms, terms**-0.5), 0, np.arange(0, n * terms, n))
+    assert np.abs(cosine.products(block(), block()) - 1).max() < 1e-6
+
+
+def test_queries_travel_once_a_task(spark, monkeypatch):
+    """Of the pairs of blocks in a task only a query block's first brings its rows; without them it is an error."""
+    for name, value in {"ROWS": 32, "MEET": 2, "ASK": 2}.items():
+        monkeypatch.setattr(cosine, name, value)
+    pairs, sent = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def watched(*a, compared=cosine._compared):
+        def counted(batches):
+            for batch in batches:
+                pairs.add(batch.num_rows)
+                sent.add(batch.num_rows - batch.column("q").null_count)
+                yield batch
+
+        return lambda batches: compared(*a)(counted(batches))
+
+    monkeypatch.setattr(cosine, "_compared", watched)
+    train, asks = [(k, f"T{k}", t) for k, t in enumerate(texts(320, 3))], [(f"Q{k}", t) for k, t in enumerate(texts(64, 4))]
+    got = nearest.nearest(spark.createDataFrame(asks, "cve_id string, text string").coalesce(1), spark.createDataFrame(train, "ord long, cve_id string, text string").coalesce(1))
+    assert Counter((r.query_id, r.train_id, round(r.similarity, 9)) for r in got.collect()) == brute(asks, train)
+    assert pairs.value == 2 * 10 and 2 <= sent.value < pairs.value
+    lost = pa.RecordBatch.from_pydict({"asking": [0], "q": pa.nulls(1), "t": pa.nulls(1)})
+    with pytest.raises(ValueError, match="without its rows"):
+        next(watched(None, 1)(iter([lost])))
